@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from millrace.llm import license_scan, line_dedup, mixing, simhash
+from millrace.llm import html_extract, langid, license_scan, line_dedup, mixing, packing, simhash, toxicity
 from millrace.llm.common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_packing(spark, sf_dir, tokenizer=None):
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(cut)
+
+
+def op4_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))).select("lang", "text"))
+    held = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return langid.identify(held, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -17,6 +35,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_html_extract(spark, sf_dir):
+    return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -25,5 +47,5 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op7_mixing, op9_line_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op4_langid, op5_simhash, op7_mixing, op8_html_extract, op9_line_dedup, op10_license_scan)}
 ORACLES = {"op7_mixing": mixing.ORACLE_SQL, "op10_license_scan": license_scan.oracle_sql()}
