@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from millrace.llm import html_extract, langid, license_scan, line_dedup, mixing, packing, simhash, toxicity
+from millrace.llm import html_extract, langid, license_scan, line_dedup, mixing, packing, permutation_ann, pq_dedup, simhash, toxicity
 from millrace.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_permutation_ann(spark, sf_dir):
+    return permutation_ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op3_packing(spark, sf_dir, tokenizer=None):
     cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
     return packing.pack(cut)
@@ -31,6 +35,10 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_pq_dedup(spark, sf_dir):
+    return pq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,5 +55,5 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op4_langid, op5_simhash, op7_mixing, op8_html_extract, op9_line_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_permutation_ann, op3_packing, op4_langid, op5_simhash, op6_pq_dedup, op7_mixing, op8_html_extract, op9_line_dedup, op10_license_scan)}
 ORACLES = {"op7_mixing": mixing.ORACLE_SQL, "op10_license_scan": license_scan.oracle_sql()}
