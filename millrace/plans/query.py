@@ -26,4 +26,4 @@ def query(*inputs: str, sql: str | None = None):
 
 def half_up(x: str, places: int = 2) -> str:
     """DuckDB SQL for rounding half up on the decimal text of a double, as Spark's round does."""
-    return f"CAST(round(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(34,14)), {places}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38,18)), {places}) AS DOUBLE)"
