@@ -22,15 +22,15 @@ rows. Extra columns are kept by :func:`drop_repeated_chunks`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The rolling hash: line hashes below 2**31, this base, and no overflow of 64 bits.
 BASE = 31
 
 
-def _chunks(docs: DataFrame, window: int, divisor: int, body: bool = False) -> DataFrame:
-    """(doc_id, doc_hash, start, n, chunk[, body]): the multi-line chunks of every text, places from 0."""
+def _chunks(docs: DataFrame, window: int, divisor: int) -> DataFrame:
+    """(doc_id, doc_hash, start, n, chunk): the multi-line chunks of every text, places from 0."""
     hashes = F.transform("lines", lambda x: F.xxhash64(x).bitwiseAND(F.lit(0x7FFFFFFF)))
     rolled = F.transform(
         F.sequence(F.lit(0), F.size("hashes") - 1),
@@ -53,12 +53,7 @@ def _chunks(docs: DataFrame, window: int, divisor: int, body: bool = False) -> D
     )
     told = F.transform(
         "spans",
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            x["n"].alias("n"),
-            F.xxhash64(F.slice("hashes", x["start"] + 1, x["n"])).alias("chunk"),
-            *([F.array_join(F.slice("lines", x["start"] + 1, x["n"]), "\n").alias("body")] if body else []),
-        ),
+        lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.xxhash64(F.slice("hashes", x["start"] + 1, x["n"])).alias("chunk")),
     )
     return (
         docs.where("text is not null")
@@ -73,31 +68,56 @@ def _chunks(docs: DataFrame, window: int, divisor: int, body: bool = False) -> D
     )
 
 
+def _same_row(doc_id: str, doc_hash: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("_hash") == F.col(doc_hash))
+
+
 def repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2) -> DataFrame:
-    """(doc_id, doc_hash, start, n): the chunk occurrences to remove."""
-    many = _chunks(docs, window, divisor).groupBy("chunk").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("chunk")
-    found = _chunks(docs, window, divisor, body=True).join(many, "chunk").where(r"body rlike '[^\\s]'")
+    """(_id, _of, _runs): per row with chunks to remove, its doc_id, the hash of its text, and their (start, n)."""
+    chunks = _chunks(docs, window, divisor)
     at = F.struct("doc_id", "doc_hash", "start")
-    first = found.groupBy("chunk", "body").agg(F.min(at).alias("first"))
-    return found.join(first, ["chunk", "body"]).where(~at.eqNullSafe(F.col("first"))).select("doc_id", "doc_hash", "start", "n")
+    first = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("first")).where("times > 1")
+    alike = (
+        chunks.join(first, "chunk")
+        .groupBy(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_of"))
+        .agg(F.collect_set(F.struct("start", "n", "chunk", at.eqNullSafe(F.col("first")).alias("is_first"))).alias("alike"))
+    )
+    # every column is named, so that this and drop_repeated_chunks share one shuffle of docs
+    named = F.xxhash64(*docs.columns).isNotNull()
+    lines = F.split("text", "\n", -1)
+    bodies = (
+        _keyed(docs).join(alike, _same_row("_id", "_of"))
+        .where(named)
+        .select("_id", "_of", F.explode(F.transform("alike", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), x["chunk"].alias("chunk"), x["is_first"].alias("is_first"), F.array_join(F.slice(lines, x["start"] + 1, x["n"]), "\n").alias("body")))).alias("x"))
+        .select("_id", "_of", "x.*")
+    )
+    # the bytes decide; a chunk that only shares its hash with the first one stays
+    originals = bodies.where("is_first").groupBy("chunk").agg(F.min("body").alias("original"))
+    return (
+        bodies.where("not is_first")
+        .join(originals, "chunk")
+        .where(r"body = original and body rlike '[^\\s]'")
+        .groupBy("_id", "_of")
+        .agg(F.collect_set(F.struct("start", "n")).alias("_runs"))
+    )
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_hash", F.xxhash64("text"))
 
 
 def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2) -> DataFrame:
     """docs with text less its repeated chunks, and n_lines, n_removed beside."""
-    gone = (
-        repeated_chunks(docs, window, divisor)
-        .select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), F.explode(F.expr("sequence(start, start + n - 1)")).alias("line"))
-        .groupBy("_id", "_hash")
-        .agg(F.collect_set("line").alias("_gone"))
-    )
+    gone = repeated_chunks(docs, window, divisor)
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(
+        F.array_join(F.filter(lines, lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["start"] + r["n"]))), "\n")
     )
+    removed = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["n"])
     return (
-        docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+        _keyed(docs).join(gone, _same_row("_id", "_of"), "left")
         .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
+        .withColumn("n_removed", F.coalesce(removed, F.lit(0)))
         .withColumn("text", kept)
-        .drop("_id", "_hash", "_gone")
+        .drop("_id", "_of", "_hash", "_runs")
     )
