@@ -85,14 +85,16 @@ def links(fps: DataFrame, hot: int = 256) -> DataFrame:
     )
     shared = save(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     twos = shared.where("n = 2").select("a", "b").where("bit_count(a ^ b) <= 2")
-    several = variants.join(shared.where(f"n > 2 and n <= {hot}").select("key"), "key").select("key", "fp")
+    # dealt by key at every size: the shared keys are too many to be sent to every task
+    crowded = save(variants.select("key", "fp", "h", "o", "p").hint("merge").join(shared.where("n > 2").select("key", "n"), "key"), "crowded")
+    several = crowded.where(f"n <= {hot}")
     cold = (
         several.select("key", F.col("fp").alias("a"))
         .join(several.select("key", F.col("fp").alias("b")), "key")
         .where("a < b and bit_count(a ^ b) <= 2")
         .select("a", "b")
     )
-    crowd = variants.join(shared.where(f"n > {hot}").select("key"), "key").select("key", "fp", "h", "o", "p")
+    crowd = crowded.where(f"n > {hot}")
     # the halves differ at p: the other halves differ in one bit at most
     one = crowd.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(31)))).select("fp", "key", F.lit(-1).cast("long").alias("h"), "q", F.lit(-1).alias("r"), F.col("o").bitwiseAND(_mask("q")).alias("rest"))
     # the halves are equal: the other halves differ in two bits at most; one variant has all such pairs
@@ -103,7 +105,7 @@ def links(fps: DataFrame, hot: int = 256) -> DataFrame:
         .select("fp", "key", "h", "q", "r", F.col("o").bitwiseAND(_mask("q")).bitwiseAND(_mask("r")).alias("rest"))
     )
     met = one.union(two).groupBy("key", "h", "q", "r", "rest").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where("size(all) > 1")
-    return twos.union(cold).union(met.select("a", F.explode("all").alias("b")).where("a <> b")).distinct()
+    return twos.union(cold).union(met.select("a", F.explode("all").alias("b")).where("a <> b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, hot: int = 256) -> DataFrame:
