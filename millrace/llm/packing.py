@@ -22,7 +22,9 @@ rows; extra columns of :func:`pack`'s input are kept.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -35,15 +37,29 @@ from millrace.llm.common import save
 
 #: Chunks of text whose ids a worker remembers.
 REMEMBERED = 1_000_000
+#: A space at an end of the text or beside other white space.
+SPACES = re.compile(r"\A | \Z| \s|\s ")
+
+
+class _Known(dict):
+    """Chunk to its ids; a chunk that is missing is encoded, after lead."""
+
+    def __init__(self, model, lead: str) -> None:
+        super().__init__()
+        self.encode, self.lead = model.encode, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = ids = array("I", self.encode(self.lead + chunk, add_special_tokens=False).ids).tobytes()
+        return ids
 
 
 class Tokens:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes.
+    """Token ids of texts, as unsigned 32-bit bytes of this machine.
 
     The vocabulary's byte-pair merges never cross a space that stands between
     two other characters, so a text is split at spaces and each chunk's ids
-    are remembered. Texts with other runs of white space beside a space are
-    encoded whole.
+    are remembered. Texts with other white space beside a space are encoded
+    whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,34 +68,18 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, known: dict[str, bytes], chunks: list[str], lead: str) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            for c, e in zip(new, self.model.encode_batch([lead + c for c in new], add_special_tokens=False), strict=True):
-                known[c] = np.asarray(e.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split = []
-        for k, text in enumerate(texts):
-            chunks = text.split(" ")
-            if "" in chunks or any(c[0].isspace() or c[-1].isspace() for c in chunks):
-                out[k] = self.whole(text) if text else b""
-            else:
-                split.append((k, chunks))
+        self.forget()
+
+    def forget(self) -> None:
+        self.first, self.rest = _Known(self.model, ""), _Known(self.model, " ")
+
+    def __call__(self, text: str) -> bytes:
+        if SPACES.search(text):
+            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+        first, *rest = text.split(" ")
         if len(self.first) + len(self.rest) > REMEMBERED:
-            self.first, self.rest = {}, {}
-        self._learn(self.first, [c[0] for _, c in split], "")
-        self._learn(self.rest, [x for _, c in split for x in c[1:]], " ")
-        for k, chunks in split:
-            out[k] = self.first[chunks[0]] + b"".join(map(self.rest.__getitem__, chunks[1:]))
-        return out
+            self.forget()
+        return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -105,8 +105,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
         for at in range(0, len(whole), 64):  # long texts: bounded memory
             batch = whole.slice(at, 64)
             origin, no, start, length, last = [], [], [], [], []
-            for k, ids in enumerate(encode([x or "" for x in batch.column(1).to_pylist()])):
-                ids += end
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                ids = encode(text or "") + end
                 for n, (s, size) in enumerate(cuts(len(ids) // 4, capacity)):
                     body = ids[4 * s : 4 * (s + size)]
                     origin.append(k)
