@@ -19,6 +19,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from millrace.functions import rules as R
 from millrace.operators.catalog import unescape
@@ -33,7 +34,7 @@ def spec_text(model: Column, spec: Column, intro: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(out, r"\s+", " ")), 1, 120)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of the first text to the second."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -42,7 +42,7 @@ def cost_flags_loaded(catalog):
     return C.cost_flags(catalog).select("catalog_idx", "cost_price", "has_cost_price", "cost_price_missing", "cost_price_ambiguous")
 
 
-@query("catalog", sql="SELECT catalog_idx, name FROM {catalog} WHERE market_price > 950")
+@query("catalog", sql="SELECT catalog_idx, name FROM {catalog} WHERE market_price > 950 OR NOT EXISTS (SELECT 1 FROM {catalog} WHERE market_price > 950)")
 def catalog_fallback(catalog):
     """The current catalogue if it has rows, else the last uploaded one; here the last one is larger and unused."""
     rows = catalog.select("catalog_idx", "name", "market_price")
