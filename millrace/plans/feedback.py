@@ -96,7 +96,7 @@ def learning_adjust(asked, feedback, catalog):
 
 @query("asked", "feedback", "catalog")
 def reranked_candidates(asked, feedback, catalog):
-    """Order after learning, with candidates that have an image moved up; tests hold the fold against a loop."""
+    """Order after learning, with candidates that have an image moved up."""
     w = _weighted(asked, feedback)
     out = L.rerank(L.adjust(_candidates(asked, catalog), L.by_code(w), L.overall(w)))
     return out.select("ask_id", "place", "catalog_idx", "score", L.auto_select(F.col("score"), F.col("feedback_count")).alias("auto_action"), L.hint(F.col("feedback_count"), F.col("template_hit_count"), F.col("mapping_changed_count")).alias("hint"))
