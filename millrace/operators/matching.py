@@ -237,13 +237,15 @@ def recognise_brand(text: Column, brands: list[str]) -> Column:
 def semantic(queries: DataFrame, vectors: DataFrame, least: float = 0.3, most: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the vectors with a cosine of least or more, best first.
 
-    Queries are a stated set against all rows; norms are computed once a row.
+    Queries are a stated set against all rows, which are dealt to slices; every
+    slice gets the queries, so no task holds all rows. Norms are computed once a row.
     """
+    slices = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumn("nq", norm_of("q")).where("nq > 0")
-    v = vectors.withColumn("nv", norm).where("nv > 0")
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumn("nq", norm_of("q")).where("nq > 0").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    v = vectors.withColumn("nv", norm).where("nv > 0").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int"))
     dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = v.join(q, F.size("q") == F.size("embedding")).select("query_id", "vec_id", (dot / (F.col("nq") * F.col("nv"))).alias("score")).where(F.col("score") >= least)
+    scored = v.join(q, "slice").where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", (dot / (F.col("nq") * F.col("nv"))).alias("score")).where(F.col("score") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
