@@ -97,7 +97,7 @@ def document_headers(results):
 
 @query("results")
 def document_amounts_in_capitals(results):
-    """Capitals are held against hand-made literals in the tests."""
+    """Totals in capitals; without a twin or a test yet."""
     return D.document_headers(results, "quote", AS_OF).select("quote_id", "total", "capitals")
 
 
