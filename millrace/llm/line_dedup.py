@@ -7,7 +7,15 @@ a text have two lines or more, and the cut depends on the neighbouring lines
 alone: text put in or taken out elsewhere does not shift it. Chunks of at
 least two lines that occur more than once in the whole table are compared byte
 by byte; all but the first occurrence (least doc_id, then text, then place)
-are removed.
+are removed. That is :func:`drop_repeated_chunks`, whose coarse cuts leave the
+ends of a passage and most short passages where they are.
+
+:func:`drop_repeated_passages` takes the finest cut, after every line, and
+matches each line together with its neighbour: a pair of neighbouring lines
+that occurred before is removed. Every run of two or more repeated lines is
+made of such pairs, so a match reaches line by line to both ends of the
+passage, wherever it begins. A pair that overlaps its own first occurrence
+(three equal lines) is no repetition; the first occurrence of every line stays.
 
 Everything is DataFrame functions. Only digests are shuffled to find repeated
 chunks; the bytes of repeated chunks alone are shuffled to be compared. A chunk
@@ -15,9 +23,9 @@ that a third of all documents hold is counted by partial aggregation and
 removed through an equi-join that adaptive execution can split.
 
 Defined cases: a null text stays null and has no lines; an empty text has one
-empty line; chunks of blank lines are left alone; rows that repeat both doc_id
+empty line; chunks and pairs of blank lines are left alone; rows that repeat both doc_id
 and text are treated alike (they are one occurrence); an empty table gives no
-rows. Extra columns are kept by :func:`drop_repeated_chunks`.
+rows. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -121,3 +129,48 @@ def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2) ->
         .withColumn("text", kept)
         .drop("_id", "_of", "_hash", "_runs")
     )
+
+
+def _pairs(told) -> Column:
+    """told(line, next line) of every line of a text; null for the last."""
+    lines = F.split("text", "\n", -1)
+    return F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda x, y: F.when(y.isNotNull(), told(F.concat(x, F.lit("\n"), y))))
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(_id, _of, _starts): per row with pairs of lines to remove, its doc_id, the hash of its text, and the places of the first lines."""
+    key = _pairs(lambda body: F.when(body.rlike(r"[^\s]"), F.xxhash64(body)))
+    pairs = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("doc_hash"), F.posexplode(key).alias("start", "pair")).where("pair is not null")
+    at = F.struct("doc_id", "doc_hash", "start")
+    first = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("first")).where("times > 1")
+    is_first = at.eqNullSafe(F.col("first"))
+    overlaps = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_hash") == F.col("first.doc_hash")) & (F.col("start") == F.col("first.start") + 1)
+    alike = (
+        pairs.join(first, "pair")
+        .where(~overlaps)
+        .groupBy(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_of"))
+        .agg(F.collect_set(F.when(is_first, F.col("start"))).alias("firsts"), F.collect_set(F.when(~is_first, F.col("start"))).alias("again"))
+    )
+    # every column is named, so that this and drop_repeated_passages share one shuffle of docs
+    named = F.xxhash64(*docs.columns).isNotNull()
+    told = F.filter(
+        F.transform(_pairs(lambda body: body), lambda x, i: F.struct(i.alias("start"), x.alias("body"), F.array_contains("firsts", i).alias("is_first"))),
+        lambda x: x["is_first"] | F.array_contains("again", x["start"]),
+    )
+    bodies = _keyed(docs).join(alike, _same_row("_id", "_of")).where(named).select("_id", "_of", F.explode(told).alias("x")).select("_id", "_of", "x.*", F.xxhash64("x.body").alias("pair"))
+    # the bytes decide; a pair that only shares its hash with the first one stays
+    originals = bodies.where("is_first").groupBy("pair").agg(F.min("body").alias("original"))
+    return bodies.where("not is_first").join(originals, "pair").where("body = original").groupBy("_id", "_of").agg(F.collect_set("start").alias("_starts"))
+
+
+def drop_repeated_passages(docs: DataFrame) -> DataFrame:
+    """docs with text less its repeated runs of two or more lines, and n_lines, n_removed beside."""
+    lines = F.split("text", "\n", -1)
+    left = F.filter(lines, lambda x, i: ~F.array_contains("_starts", i) & ~F.array_contains("_starts", i - 1))
+    return (
+        _keyed(docs).join(repeated_pairs(docs), _same_row("_id", "_of"), "left")
+        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
+        .withColumn("n_removed", F.when(F.col("_starts").isNull(), 0).otherwise(F.size(lines) - F.size(left)))
+        .withColumn("text", F.when(F.col("_starts").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+        .drop("_id", "_of", "_hash", "_starts")
+    )

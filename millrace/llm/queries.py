@@ -48,7 +48,7 @@ def op8_html_extract(spark, sf_dir):
 
 
 def op9_line_dedup(spark, sf_dir):
-    return line_dedup.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.drop_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_license_scan(spark, sf_dir):
