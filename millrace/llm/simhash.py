@@ -120,6 +120,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, hot: int = 256) -> DataFram
 
 
 def deduplicate(docs: DataFrame, words: int = 3, hot: int = 256) -> DataFrame:
-    """The rows of docs whose doc_id stands for its component; of repeated rows of that id, one stays."""
-    kept = near_duplicates(docs, words, hot).where("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs of each component: that with the least doc_id (nulls last), then the least text hash."""
+    # texts stand for rows here, since ids may be null or repeat
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    named = near_duplicates(texts, words, hot).select(F.col("doc_id").alias("_hash"), F.col("component_id").alias("component")).distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_kept"), F.col("_hash").alias("_of"))).alias("best")
+    firsts = docs.select("doc_id", F.xxhash64("text").alias("_hash")).groupBy("_hash").agg(best)
+    kept = firsts.join(named, "_hash").groupBy("component").agg(F.min("best").alias("best")).select("best._kept", "best._of")
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_of"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
