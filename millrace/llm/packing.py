@@ -16,11 +16,13 @@ An island's work and memory are those of one shard, whatever the table's size.
 Defined cases: null text is packed as empty text (its end token alone); a
 document whose length is a multiple of the capacity has full pieces only;
 repeated rows and null ids are pieces of their own; an empty table gives no
-rows; extra columns of :func:`pack`'s input are kept.
+rows; extra columns of :func:`pack`'s input are kept, whatever their names
+(sequence_id and offset are replaced).
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,31 +37,38 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import save
 
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
-#: A space at an end of the text or beside other white space.
-SPACES = re.compile(r"\A | \Z| \s|\s ")
-
-
-class _Known(dict):
-    """Chunk to its ids; a chunk that is missing is encoded, after lead."""
-
-    def __init__(self, model, lead: str) -> None:
-        super().__init__()
-        self.encode, self.lead = model.encode, lead
-
-    def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = ids = array("I", self.encode(self.lead + chunk, add_special_tokens=False).ids).tobytes()
-        return ids
+#: The usual way of byte-level vocabularies to cut a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters whose kind may depend on the version of Unicode a library knows.
+BEYOND = re.compile("[\u0590-\U0010ffff]")
+#: Texts with this many characters in a row that hold no space, or white space alone, are for the encoder whose time and
+#: stack do not grow with such runs.
+LONG = 1000
+
+
+def _ranks(told: dict) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizer's description as byte strings with their ranks; None if it is not a byte-level one that cuts and merges the usual way."""
+    before, model = told["pre_tokenizer"] or {}, told["model"]
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and told["normalizer"] is None
+    if not usual or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    # bytes that are no printable Latin-1 character are written as those from code point 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    vocabulary = model["vocab"]
+    if any(vocabulary.get(m) != 256 + k for k, m in enumerate(merged)) or sorted(vocabulary[c] for c in byte if c in vocabulary) != list(range(256)):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(merged)}
 
 
 class Tokens:
-    """Token ids of texts, as unsigned 32-bit bytes of this machine.
+    """Token ids of texts, as unsigned 32-bit bytes of this machine, as the tokenizers library gives them.
 
-    The vocabulary's byte-pair merges never cross a space that stands between
-    two other characters, so a text is split at spaces and each chunk's ids
-    are remembered. Texts with other white space beside a space are encoded
-    whole.
+    Where the vocabulary's merges are numbered in their order, which is checked
+    when it is loaded, tiktoken makes the same ids from it in a quarter of the
+    time; it encodes the texts whose characters both libraries know alike and
+    that have no very long run of one kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,18 +77,17 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.forget()
+        self.fast = None
+        if ranks := _ranks(json.loads(self.model.to_str())):
+            import tiktoken
 
-    def forget(self) -> None:
-        self.first, self.rest = _Known(self.model, ""), _Known(self.model, " ")
+            self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if SPACES.search(text):
-            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
-        first, *rest = text.split(" ")
-        if len(self.first) + len(self.rest) > REMEMBERED:
-            self.forget()
-        return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
+        plain = self.fast and (text.isascii() or not BEYOND.search(text))
+        if plain and all(text.find(" ", k, k + LONG) >= 0 and not text[k : k + LONG].isspace() for k in range(0, len(text) - LONG + 1, LONG)):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).tobytes()
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -238,8 +246,8 @@ def _epoch(table: pa.Table, capacity: int, generations: int) -> pa.Table:
 def pack(items: DataFrame, capacity: int = 1024, islands: int = 2, shard_rows: int = 4096, generations: int = 12) -> DataFrame:
     """items (with a long column length, from 1 to capacity) with sequence_id and offset: gapless in each sequence."""
     names = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    # a fixed number for every row, by which it is found again; written, so that it stays
-    numbered = save(items.select(*names, F.monotonically_increasing_id().alias("no")), "items")
+    # a fixed number for every row, by which it is found again; written, so that it stays; the row itself is one column
+    numbered = save(items.select(F.struct(*names).alias("row"), "length", F.monotonically_increasing_id().alias("no")), "items")
 
     def evolved(rows: DataFrame, salt: int) -> DataFrame:
         """(no, length, shard, place) of rows (no, length) packed anew."""
@@ -268,4 +276,4 @@ def pack(items: DataFrame, capacity: int = 1024, islands: int = 2, shard_rows: i
         .union(evolved(again, 2).select("no", "length", ((F.col("shard") * (1 << 24) + F.col("place")) * 4 + 2).alias("sequence_id")))
     )
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    return numbered.join(placed.select("no", "sequence_id", offset.alias("offset")), "no").select(*names, "sequence_id", "offset")
+    return numbered.join(placed.select("no", "sequence_id", offset.alias("offset")), "no").select("row.*", "sequence_id", "offset")
