@@ -7,14 +7,17 @@ profile by the out-of-place distance: the sum over its n-grams of how far
 apart the two ranks are, and ``profile`` where the language lacks it.
 
 N-grams are counted in 2**15 hash buckets, so a count is an array addition;
-counts are summed per task and then by Spark, and only the profiles (at most
-``profile`` rows a language) reach the driver.
+n-grams that share a bucket count as one. A profile fills ``profile`` buckets,
+so at the default of 300 a foreign n-gram meets one of a language's own by
+chance in one case of a hundred, at a random rank. Counts are summed per task
+and then by Spark, and only the profiles (at most ``profile`` rows a language)
+reach the driver.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0;
 without any row to learn from every row is ``und``; equal distances go to the
 first language in code-point order; equal counts to the smaller bucket;
 repeated rows are each learned from and predicted; an empty table gives no
-rows. Extra columns are kept by :func:`accept` and ignored by :func:`identify`.
+rows. Extra columns, whatever their names, are kept by :func:`accept`.
 """
 
 from __future__ import annotations
@@ -84,7 +87,7 @@ class Ranks:
             self.rank[k, profiles[lang]] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): the score is the share of its distance's inverse among the languages'."""
+        """(language, score): the score is the softmax of the languages' distances, of which 0.05 divides by e."""
         c = counts(text)
         if c is None or not self.langs:
             return UNKNOWN, 0.0
@@ -119,8 +122,8 @@ def held_out(doc_id: Column) -> Column:
 def accept(docs: DataFrame, languages: list[str] | None = None, profile: int = 300) -> DataFrame:
     """The rows of docs whose language can be told and is among languages (all learned ones if None)."""
     profiles = learn(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"), profile)
-    names = docs.columns
-    found = identify(docs.select("*", F.struct(*names).alias("_row")).select("text", "_row"), profiles, profile).where(F.col("lang_pred") != UNKNOWN)
+    # the whole row is one column, so that no name of a column of docs can clash
+    found = identify(docs.select(F.col("text"), F.struct("*").alias("row")), profiles, profile).where(F.col("lang_pred") != UNKNOWN)
     if languages is not None:
         found = found.where(F.col("lang_pred").isin(languages))
-    return found.select("_row.*")
+    return found.select("row.*")

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
+#: Made in each worker when first needed: for every code point its lower-case code point if it is a letter, else 0.
+#: A plain dict, so that what is sent to workers that cannot import this package is pickled by value, and small.
+_MADE: dict[str, np.ndarray] = {}
+
 
-@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For every code point: its lower-case code point if it is a letter, else 0."""
-    out = np.zeros(0x110000, np.uint32)
-    for k in range(0x110000):
-        c = chr(k)
-        if c.isalpha():
-            low = c.lower()
+    if "letters" not in _MADE:
+        whole = list(map(chr, range(0x110000)))
+        out = np.zeros(0x110000, np.uint32)
+        for k in np.flatnonzero(np.fromiter(map(str.isalpha, whole), bool, len(whole))).tolist():
+            low = whole[k].lower()
             out[k] = ord(low) if len(low) == 1 else k
-    return out
+        _MADE["letters"] = out
+    return _MADE["letters"]
 
 
 def letters(text: str | None) -> np.ndarray:

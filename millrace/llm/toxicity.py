@@ -11,10 +11,13 @@ Features are words and runs of five and six letters with word edges, in 2**22
 hash buckets; the ones that are significantly commoner in toxic texts than in
 unlabelled texts are used, each as present or absent in the whole text.
 
-Learning uses bounded samples of rows (``fit_toxic``, ``fit_unlabelled``),
-drawn by a hash of doc_id; their features are found and counted by Spark, and
-the driver gets the chosen features of the sampled rows only. Scoring covers
-every row's whole text in one pass without a shuffle.
+Learning uses bounded samples of the labelled rows: of the confirmed toxic ones
+(at most about ``fit_toxic``), and of all labelled ones with their labels
+hidden (``fit_unlabelled``), which are the unlabelled texts. They are drawn by
+a hash of doc_id; their features are found, counted and compared by Spark, and
+the driver gets the ``most`` chosen features and which of them the sampled rows
+have. The class prior alone uses labels of both kinds. Scoring covers every
+row's whole text in one pass without a shuffle.
 
 Defined cases: null or empty text scores as a text without features; without
 toxic rows to learn from every score is 0; labels that repeat a doc_id count
@@ -53,21 +56,16 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([((words * SPREAD[2]) >> np.uint64(64 - BITS)).astype(np.int64), *(grams(x, n, BITS) for n in RUNS)])
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch], only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(bucket, n): in how many texts of this task each feature occurs."""
-    total = np.zeros(1 << BITS, np.int32)
-    wanted = None
-    if only is not None:
-        wanted = np.zeros(1 << BITS, bool)
-        wanted[only] = True
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, p, u): in how many toxic and unlabelled texts of this task each feature occurs."""
+    total = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            f = np.unique(features(text))
-            total[f if wanted is None else f[wanted[f]]] += 1
-    some = np.flatnonzero(total)
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[1 - toxic, np.unique(features(text))] += 1
+    some = np.flatnonzero(total.any(0))
     for at in range(0, len(some), 100_000):
         part = some[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[0, part], pa.int64()), pa.array(total[1, part], pa.int64())], names=["bucket", "p", "u"])
 
 
 def _hits(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -96,7 +94,7 @@ class Model:
         for k, text in enumerate(texts):
             f = features(text)
             out[k] = self.bias + weight[np.unique(f[used[f]])].sum()
-        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+        return np.zeros(len(texts)) if self.prior == 0 else 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
 def fit_nnpu(toxic: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
@@ -125,10 +123,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_toxic: int = 4096, fit_unlabelled: int = 8192, most: int = 1024, least_z: float = 4.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, fit_toxic: int = 4096, fit_unlabelled: int = 8192, most: int = 1024, least_z: float = 4.0, least_texts: int = 3) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic), neither from held-out rows.
 
-    The class prior is the share of toxic ones among the labelled rows to learn from.
+    The class prior is the share of toxic ones among the labelled rows to learn
+    from. Features that ``least_texts`` toxic texts have are ranked by how much
+    commoner they are there (a z score of ``least_z`` or more); the ``most``
+    first ones are the model's.
     """
     told = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_told, n_toxic = told.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
@@ -137,29 +138,20 @@ def learn(docs: DataFrame, labels: DataFrame, fit_toxic: int = 4096, fit_unlabel
         return empty
     prior = min(max(n_toxic / n_told, 1e-4), 0.5)
     known = docs.select("doc_id", F.col("text").cast("string")).where(~held_out(F.col("doc_id")))
-    n_docs = known.count()
     # shares of a hash of the id; a second hash so that the two draws do not depend on each other
     share = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     confirmed = known.join(told.where("toxic = 1").where(share(1) < fit_toxic / n_toxic).select("doc_id"), "doc_id").select(F.lit(1).alias("toxic"), "text")
-    others = known.where(share(2) < fit_unlabelled / max(n_docs, 1)).select(F.lit(0).alias("toxic"), "text")
+    others = known.join(told.where(share(2) < fit_unlabelled / n_told).select("doc_id"), "doc_id").select(F.lit(0).alias("toxic"), "text")
     sample = save(confirmed.union(others).repartition(max(8, min(64, (fit_toxic + fit_unlabelled) // 256))), "toxic-sample")
 
-    def document_counts(rows: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-        return rows.select("text").mapInArrow(lambda it: _document_counts(it, only), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-
     n_p, n_u = (sample.where(f"toxic = {k}").count() for k in (1, 0))
     if not n_p or not n_u:
         return empty
-    common = document_counts(sample.where("toxic = 1")).where(f"n >= {max(3, n_p // 500)}").orderBy(F.desc("n"), "bucket").limit(1 << 17).toPandas()
-    only = common["bucket"].to_numpy(np.int64)
-    among = document_counts(sample.where("toxic = 0"), only).toPandas()
-    in_p = common["n"].to_numpy(np.float64)
-    in_u = np.zeros(1 << BITS)
-    in_u[among["bucket"].to_numpy(np.int64)] = among["n"].to_numpy()
-    in_u = in_u[only]
-    z = (np.log((in_p + 0.5) / (n_p + 1)) - np.log((in_u + 0.5) / (n_u + 1))) / np.sqrt(1 / (in_p + 0.5) + 1 / (in_u + 0.5))
-    order = np.lexsort((only, -z))[:most]
-    chosen = only[order[z[order] >= least_z]]
+    counts = sample.select("toxic", "text").mapInArrow(_document_counts, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    p, u = F.col("p") + 0.5, F.col("u") + 0.5
+    z = (F.log(p / (n_p + 1)) - F.log(u / (n_u + 1))) / F.sqrt(1 / p + 1 / u)
+    best = counts.where(F.col("p") >= least_texts).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "bucket").limit(most)
+    chosen = np.array([r.bucket for r in best.select("bucket").collect()], np.int64)
     if not len(chosen):
         return empty
     rows = sample.select("toxic", "text").mapInArrow(lambda it: _hits(it, chosen), "toxic int, hits array<int>").toPandas()
