@@ -39,13 +39,64 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", total: int | None = None, heavy: int = 64) -> DataFrame:
+    """rows joined with table (one row a key; weight: how many rows share the key), safe from hot keys.
+
+    Entries of the table whose weight is over ``heavy`` and over 1/4096 of all
+    are at most 4096, whatever the size of the tables: these are broadcast, so
+    rows with such a key stay where they are. All others are joined by a
+    shuffle in which no key has more rows than that share. A null key finds
+    nothing. The table's key and weight are not among the columns returned.
+    total: of all weights, if known. how: inner or left.
+    """
+    names = [c for c in table.columns if c not in (key, weight)]
+    if total is None:
+        total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    least = max(heavy, total // 4096)
+    few = table.where(F.col(weight) > least).select(F.col(key).alias("_key"), F.struct(*names).alias("_hot"))
+    many = table.where(F.col(weight) <= least).select(F.col(key).alias("_key"), F.struct(*names).alias("_cold"))
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_key"), "left").drop("_key")
+    hot = marked.where("_hot is not null").select(*rows.columns, F.col("_hot").alias("_found"))
+    rest = marked.where("_hot is null").drop("_hot")
+    cold = rest.join(many, F.col(key) == F.col("_key"), how).select(*rows.columns, F.col("_cold").alias("_found"))
+    return hot.union(cold).select(*rows.columns, *(F.col(f"_found.{c}").alias(c) for c in names))
+
+
+def keep_first(docs: DataFrame, key: Column, named: DataFrame) -> DataFrame:
+    """One row of docs of each component: that with the least doc_id (nulls last), then the least text hash.
+
+    key stands for a row's text; named (hash, component) has the keys that share a component with others. Of rows
+    that repeat both doc_id and text one stays. Columns of docs may have any names.
+    """
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
+    keyed = docs.select("doc_id", key.alias("hash"), F.xxhash64("text").alias("text_hash"))
+    kept = (
+        keyed.groupBy("hash").agg(best).join(named, "hash", "left")
+        .groupBy(F.coalesce("component", "hash").alias("component")).agg(F.min("best").alias("best"))
+        .select(F.col("best.doc_id").alias("kept_id"), F.col("best.text_hash").alias("kept_hash"))
+    )
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.md5("text").alias("digest"), F.struct("*").alias("row"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash", "digest"]).select("row.*")
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table written by :func:`save` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): returns (node, component), the least node reachable.
 
     Alternates the large-star and small-star steps on grouped minima, so each
     round is two hash aggregations and joins; the number of rounds grows with
-    the logarithm of the longest path. Every round is written to the shared
-    folder. No edges: no rows. Loops and repeated edges are harmless.
+    the logarithm of the longest path. A star's centre, which may have as many
+    edges as there are rows, is looked up by broadcast (see :func:`lookup`).
+    Every round is written to the shared folder, and the round before it
+    deleted. No edges: no rows. Loops and repeated edges are harmless.
     """
     now = save(
         edges.where("a is not null and b is not null and a <> b")
@@ -60,11 +111,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.expr("array(struct(u, m as v), struct(v as u, m as v))")).alias("e"))
-        now = save(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        total = 2 * mark[0]
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = lookup(both, least, "u", "n", total=total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = save(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = lookup(large, least, "u", "n", total=total).select(F.explode(F.expr("array(struct(u, m as v), struct(v as u, m as v))")).alias("e"))
+        before, now = now, save(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        forget(before)
+        forget(large)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, save
+from millrace.llm.common import components, keep_first, lookup, save
 
 #: Shingles unpacked at once, which bounds memory on very long texts.
 BLOCK = 1 << 16
@@ -94,7 +94,8 @@ def links(fps: DataFrame, hot: int = 256) -> DataFrame:
         .where("a < b and bit_count(a ^ b) <= 2")
         .select("a", "b")
     )
-    crowd = crowded.where(f"n > {hot}")
+    # every row becomes 528: dealt out before that, however few tasks its bytes would make
+    crowd = crowded.where(f"n > {hot}").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp", "key")
     # the halves differ at p: the other halves differ in one bit at most
     one = crowd.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(31)))).select("fp", "key", F.lit(-1).cast("long").alias("h"), "q", F.lit(-1).alias("r"), F.col("o").bitwiseAND(_mask("q")).alias("rest"))
     # the halves are equal: the other halves differ in two bits at most; one variant has all such pairs
@@ -111,21 +112,17 @@ def links(fps: DataFrame, hot: int = 256) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, hot: int = 256) -> DataFrame:
     """(doc_id, fp, component_id) of every row; components link fingerprints within two bits."""
     prints = save(fingerprints(docs, words), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     joined = components(links(distinct.select("fp"), hot))
     classes = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     firsts = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(firsts, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = save(classes.join(firsts, "component").select("fp", "rows", "component_id"), "named")
+    return lookup(prints, named, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = 3, hot: int = 256) -> DataFrame:
     """One row of docs of each component: that with the least doc_id (nulls last), then the least text hash."""
     # texts stand for rows here, since ids may be null or repeat
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    named = near_duplicates(texts, words, hot).select(F.col("doc_id").alias("_hash"), F.col("component_id").alias("component")).distinct()
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_kept"), F.col("_hash").alias("_of"))).alias("best")
-    firsts = docs.select("doc_id", F.xxhash64("text").alias("_hash")).groupBy("_hash").agg(best)
-    kept = firsts.join(named, "_hash").groupBy("component").agg(F.min("best").alias("best")).select("best._kept", "best._of")
-    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_of"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    named = near_duplicates(texts, words, hot).select(F.col("doc_id").alias("hash"), F.col("component_id").alias("component")).distinct()
+    return keep_first(docs, F.xxhash64("text"), named)
