@@ -19,20 +19,25 @@ passage, wherever it begins. A pair that overlaps its own first occurrence
 
 Everything is DataFrame functions. Only digests are shuffled to find repeated
 chunks; the bytes of repeated chunks alone are shuffled to be compared. A chunk
-that a third of all documents hold is counted by partial aggregation and
-removed through an equi-join that adaptive execution can split.
+that a third of all documents hold is counted by partial aggregation, looked up
+by broadcast (:func:`millrace.llm.common.lookup`), and its bytes are compared in
+as many tasks as it has 512 occurrences: the first one's bytes are copied to
+each.
 
 Defined cases: a null text stays null and has no lines; an empty text has one
-empty line; chunks and pairs of blank lines are left alone; rows that repeat both doc_id
-and text are treated alike (they are one occurrence); an empty table gives no
-rows. Extra columns are kept.
+empty line; chunks and pairs of blank lines are left alone; rows that repeat
+both doc_id and text are treated alike (they are one occurrence, so both stay);
+an empty table gives no rows. Extra columns are kept, whatever their names;
+n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import lookup, save
+
 #: The rolling hash: line hashes below 2**31, this base, and no overflow of 64 bits.
 BASE = 31
 
@@ -76,101 +81,68 @@ def _chunks(docs: DataFrame, window: int, divisor: int) -> DataFrame:
     )
 
 
-def _same_row(doc_id: str, doc_hash: str) -> Column:
-    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col("_hash") == F.col(doc_hash))
+def _pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_hash, start, n, chunk): every two neighbouring lines of every text that are not both blank."""
+    lines = F.split("text", "\n", -1)
+    hashed = lambda x, y: F.when(y.isNotNull() & F.concat(x, y).rlike(r"[^\s]"), F.xxhash64(F.concat(x, F.lit("\n"), y)))
+    keys = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), hashed)
+    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("doc_hash"), F.posexplode(keys).alias("start", "chunk")).where("chunk is not null").select("doc_id", "doc_hash", "start", F.lit(2).alias("n"), "chunk")
 
 
-def repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2) -> DataFrame:
-    """(_id, _of, _runs): per row with chunks to remove, its doc_id, the hash of its text, and their (start, n)."""
-    chunks = _chunks(docs, window, divisor)
+def _repeats(rows: DataFrame, chunks: DataFrame, share: int = 512) -> DataFrame:
+    """(id, of, runs): per row of rows (doc_id, doc_hash, row) with something to remove, its doc_id, the hash of its text, and (start, n)."""
+    chunks = save(chunks, "chunks")
     at = F.struct("doc_id", "doc_hash", "start")
     first = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("first")).where("times > 1")
+    first = save(first.withColumn("tasks", F.ceil(F.col("times") / share).cast("int")), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_hash") == F.col("first.doc_hash"))
+    is_first = same & (F.col("start") == F.col("first.start"))
+    # what overlaps its own first occurrence is no repetition
+    overlaps = same & (F.col("start") > F.col("first.start")) & (F.col("start") < F.col("first.start") + F.col("n"))
     alike = (
-        chunks.join(first, "chunk")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_of"))
-        .agg(F.collect_set(F.struct("start", "n", "chunk", at.eqNullSafe(F.col("first")).alias("is_first"))).alias("alike"))
+        lookup(chunks, first, "chunk", "times")
+        .where(~overlaps)
+        .groupBy(F.col("doc_id").alias("id"), F.col("doc_hash").alias("of"))
+        .agg(F.collect_set(F.struct("start", "n", "chunk", "tasks", is_first.alias("is_first"))).alias("alike"))
     )
-    # every column is named, so that this and drop_repeated_chunks share one shuffle of docs
-    named = F.xxhash64(*docs.columns).isNotNull()
-    lines = F.split("text", "\n", -1)
+    body = F.array_join(F.slice("lines", F.col("x.start") + 1, F.col("x.n")), "\n")
     bodies = (
-        _keyed(docs).join(alike, _same_row("_id", "_of"))
-        .where(named)
-        .select("_id", "_of", F.explode(F.transform("alike", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), x["chunk"].alias("chunk"), x["is_first"].alias("is_first"), F.array_join(F.slice(lines, x["start"] + 1, x["n"]), "\n").alias("body")))).alias("x"))
-        .select("_id", "_of", "x.*")
+        rows.join(alike, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("doc_hash") == F.col("of")))
+        # the whole row is named, so that this and _without share one shuffle of the rows
+        .where(F.xxhash64("row").isNotNull())
+        .select("id", "of", F.split("row.text", "\n", -1).alias("lines"), F.explode("alike").alias("x"))
+        .select("id", "of", "x.*", body.alias("body"))
     )
     # the bytes decide; a chunk that only shares its hash with the first one stays
-    originals = bodies.where("is_first").groupBy("chunk").agg(F.min("body").alias("original"))
+    firsts = bodies.where("is_first").groupBy("chunk").agg(F.min("body").alias("original"), F.max("tasks").alias("tasks"))
+    firsts = firsts.select("chunk", "original", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    again = bodies.where("not is_first").withColumn("task", F.pmod(F.xxhash64("id", "of", "start"), F.col("tasks")).cast("int"))
     return (
-        bodies.where("not is_first")
-        .join(originals, "chunk")
+        again.join(firsts, ["chunk", "task"])
         .where(r"body = original and body rlike '[^\\s]'")
-        .groupBy("_id", "_of")
-        .agg(F.collect_set(F.struct("start", "n")).alias("_runs"))
+        .groupBy("id", "of")
+        .agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     )
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_hash", F.xxhash64("text"))
+def _without(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """docs with text less the lines of the repeated ones of chunks, and n_lines, n_removed beside."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), F.struct("*").alias("row"))
+    found = rows.join(_repeats(rows, chunks), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("doc_hash") == F.col("of")), "left")
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1)))
+    told = found.select("row", "runs", F.split("row.text", "\n", -1).alias("lines")).withColumn("kept", F.when(F.col("runs").isNotNull(), F.array_except(places, gone)))
+    text = F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n"))
+    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines"))
+    return told.select(*columns, n_lines.alias("n_lines"), F.when(F.col("runs").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).alias("n_removed"))
 
 
 def drop_repeated_chunks(docs: DataFrame, window: int = 2, divisor: int = 2) -> DataFrame:
     """docs with text less its repeated chunks, and n_lines, n_removed beside."""
-    gone = repeated_chunks(docs, window, divisor)
-    lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i < r["start"] + r["n"]))), "\n")
-    )
-    removed = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["n"])
-    return (
-        _keyed(docs).join(gone, _same_row("_id", "_of"), "left")
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("n_removed", F.coalesce(removed, F.lit(0)))
-        .withColumn("text", kept)
-        .drop("_id", "_of", "_hash", "_runs")
-    )
-
-
-def _pairs(told) -> Column:
-    """told(line, next line) of every line of a text; null for the last."""
-    lines = F.split("text", "\n", -1)
-    return F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda x, y: F.when(y.isNotNull(), told(F.concat(x, F.lit("\n"), y))))
-
-
-def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """(_id, _of, _starts): per row with pairs of lines to remove, its doc_id, the hash of its text, and the places of the first lines."""
-    key = _pairs(lambda body: F.when(body.rlike(r"[^\s]"), F.xxhash64(body)))
-    pairs = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("doc_hash"), F.posexplode(key).alias("start", "pair")).where("pair is not null")
-    at = F.struct("doc_id", "doc_hash", "start")
-    first = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("first")).where("times > 1")
-    is_first = at.eqNullSafe(F.col("first"))
-    overlaps = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_hash") == F.col("first.doc_hash")) & (F.col("start") == F.col("first.start") + 1)
-    alike = (
-        pairs.join(first, "pair")
-        .where(~overlaps)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_of"))
-        .agg(F.collect_set(F.when(is_first, F.col("start"))).alias("firsts"), F.collect_set(F.when(~is_first, F.col("start"))).alias("again"))
-    )
-    # every column is named, so that this and drop_repeated_passages share one shuffle of docs
-    named = F.xxhash64(*docs.columns).isNotNull()
-    told = F.filter(
-        F.transform(_pairs(lambda body: body), lambda x, i: F.struct(i.alias("start"), x.alias("body"), F.array_contains("firsts", i).alias("is_first"))),
-        lambda x: x["is_first"] | F.array_contains("again", x["start"]),
-    )
-    bodies = _keyed(docs).join(alike, _same_row("_id", "_of")).where(named).select("_id", "_of", F.explode(told).alias("x")).select("_id", "_of", "x.*", F.xxhash64("x.body").alias("pair"))
-    # the bytes decide; a pair that only shares its hash with the first one stays
-    originals = bodies.where("is_first").groupBy("pair").agg(F.min("body").alias("original"))
-    return bodies.where("not is_first").join(originals, "pair").where("body = original").groupBy("_id", "_of").agg(F.collect_set("start").alias("_starts"))
+    return _without(docs, _chunks(docs, window, divisor))
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """docs with text less its repeated runs of two or more lines, and n_lines, n_removed beside."""
-    lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("_starts", i) & ~F.array_contains("_starts", i - 1))
-    return (
-        _keyed(docs).join(repeated_pairs(docs), _same_row("_id", "_of"), "left")
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("n_removed", F.when(F.col("_starts").isNull(), 0).otherwise(F.size(lines) - F.size(left)))
-        .withColumn("text", F.when(F.col("_starts").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-        .drop("_id", "_of", "_hash", "_starts")
-    )
+    return _without(docs, _pairs(docs))

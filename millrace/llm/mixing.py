@@ -17,8 +17,9 @@ then slots of one run), so that a source that holds a third of all rows is
 never sorted in one task.
 
 Defined cases: null or blank text has size 0 and is never taken; null doc_id
-and repeated rows are rows of their own; an empty table, or one without words,
-has all targets and takes 0.
+and repeated rows are rows of their own (a row without an id is placed by its
+text); an empty table, or one without words, has all targets and takes 0. Extra
+columns, whatever their names, are kept by :func:`apply_mix`.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken) of every row."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))).alias("key"))
     sized = save(sized.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), "sized")
     bucketed = save(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     plan = (
@@ -106,17 +107,17 @@ def apply_mix(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.expr("cast(round(taken / (_size * rows)) as int)").alias("_times")
     ).where("_times > 0")
     return (
-        docs.withColumn("_words", word_count(F.col("text")))
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("_words"), F.struct(*names).alias("_row"))
         .join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*names)
+        .select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+        .select("_row.*")
     )
 
 
 #: DuckDB SQL for mix() over the view documents, without source.
 ORACLE_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, md5(text), '')) AS k FROM documents),
 src AS (
   SELECT *, (src_no - 1) % 3 + 1 AS weight FROM (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS src_no FROM sized GROUP BY source)),
