@@ -11,26 +11,31 @@ Inner products are turned into angles inside bands of similar norm: with M the
 upper edge of a band, x goes to (x, sqrt(M*M - |x|*|x|)) / M and a query to
 (q, 0), so that inside a band the largest inner product is the smallest angle.
 
-Rows are dealt to shards of ``shard_rows`` vectors of one band, queries to
-blocks of ``query_rows``; a task joins one block to one shard's inverted files
-and sends on each query's ``k`` best, so memory does not depend on the size of
-the table. Pivots are a bounded sample; every row is indexed.
-
-How much is ranked again: the nearest ``rerank`` of a shard by footrule, at
-least ``least_rerank`` vectors of the band, and all whose footrule distance is
-under ``near`` times the mean, which takes whole crowds of near copies however
-many they are. On isotropic data of 64 dimensions, the hardest case, recall at
-20 was 0.95 and more (README); clustered data need less.
+Rows are dealt by hash to shards of some ``shard_rows`` vectors of one band.
+A task takes its shards one after the other: a shard's vectors come first and
+are put into its inverted files once, then every query streams past them and
+sends on its ``k`` best, so memory holds one shard, whatever the size of the
+table. Queries are copied once per shard; vectors are never copied. Pivots are a
+bounded sample; every row is indexed.
+
+How much is ranked again, in each shard: the nearest by footrule, ``rerank``
+times k and a share ``share`` of the shard, and all whose footrule distance is
+under ``near`` times the mean, which takes crowds of near copies whole, however
+many they are. The rule is the same at every size. Random unit vectors of 64
+dimensions are the hardest case: their nearest neighbours are hardly nearer than
+the rest, so recall falls with less (README has figures).
 
 Defined cases: rows with a null vec_id and vectors that are null, zero, of
 another length than most, or hold null or non-finite components take no part;
-of rows that repeat a vec_id the one with the smallest vector counts; equal
+of rows that repeat a vec_id each is searched for and found on its own; equal
 scores go to the smaller vec_id; with fewer candidates than k all are returned;
 an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -80,52 +85,71 @@ class InvertedFiles:
         return self.prefix * (self.prefix + 1) - gain
 
 
-def _search(table: pa.Table, pivots: np.ndarray, prefix: int, k: int, rerank: float, least: int, near: float) -> pa.Table:
-    is_query = np.asarray(table["role"].to_pylist()) == 1
-    ids = table["vec_id"].to_numpy()
-    x = matrix(table["embedding"])
-    out = {"query_id": [], "vec_id": [], "score": []}
-    if is_query.any() and not is_query.all():
-        own, mine = ids[~is_query], x[~is_query]
-        order = np.argsort(own, kind="stable")
-        own, mine = own[order], mine[order]
-        edge = 2 ** ((table["band"][0].as_py() + 0.5) / 4)
-        tail = np.sqrt(np.maximum(edge**2 - (mine**2).sum(1), 0))
-        index = InvertedFiles(nearest_pivots(np.column_stack([mine, tail]) / edge, pivots, prefix), len(pivots))
-        asked, theirs = ids[is_query], x[is_query]
-        ranked = nearest_pivots(np.column_stack([theirs, np.zeros(len(theirs))]), pivots, prefix)
-        # of a band in several shards, each shard ranks its part
-        most = min(len(own), max(int(np.ceil(rerank * len(own))), -(-least * len(own) // max(table["band_rows"][0].as_py(), 1)), k + 1))
-        for q in range(len(asked)):
-            far = index.footrule(ranked[q])
+class Shard:
+    """One shard's vectors, indexed once, for any number of queries."""
+
+    def __init__(self, row: np.ndarray, ids: np.ndarray, x: np.ndarray, band: int, pivots: np.ndarray, prefix: int) -> None:
+        order = np.lexsort((row, ids))
+        self.row, self.ids, self.x = row[order], ids[order], x[order]
+        self.pivots, self.prefix = pivots, prefix
+        edge = 2 ** ((band + 0.5) / 4)
+        tail = np.sqrt(np.maximum(edge**2 - (self.x**2).sum(1), 0))
+        self.index = InvertedFiles(nearest_pivots(np.column_stack([self.x, tail]) / edge, pivots, prefix), len(pivots))
+
+    def ask(self, row: np.ndarray, x: np.ndarray, k: int, rerank: int, share: float, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, place of the vector, score) of each query's k best of what is ranked again."""
+        n = len(self.ids)
+        ranked = nearest_pivots(np.column_stack([x, np.zeros(len(x))]), self.pivots, self.prefix)
+        most = min(n, rerank * k + int(np.ceil(share * n)))
+        slack = 1e-9 * np.sqrt((self.x**2).sum(1).max()) * np.sqrt((x**2).sum(1))
+        out = []
+        for q in range(len(row)):
+            far = self.index.footrule(ranked[q])
             take = far <= max(np.partition(far, most - 1)[most - 1], near * far.mean())
-            take &= own != asked[q]
-            some = np.flatnonzero(take)
-            if not len(some):
-                continue
-            score = mine[some] @ theirs[q]
+            some = np.flatnonzero(take & (self.row != row[q]))
+            score = self.x[some] @ x[q]
             if len(some) > k:
-                some = some[score >= np.partition(score, -k)[-k] - 1e-9]
-            score = np.einsum("ij,j->i", mine[some], theirs[q])
-            best = np.lexsort((own[some], -score))[:k]
-            out["query_id"].append(np.full(len(best), asked[q]))
-            out["vec_id"].append(own[some][best])
-            out["score"].append(score[best])
-    kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
-    return pa.table({c: pa.array(np.concatenate(v) if v else [], kinds[c]) for c, v in out.items()})
+                some = some[score >= np.partition(score, -k)[-k] - slack[q]]
+            score = np.einsum("ij,j->i", self.x[some], x[q])
+            best = np.lexsort((self.ids[some], -score))[:k]
+            out.append((np.full(len(best), q), some[best], score[best]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
+
+
+def _search(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, prefix: int, k: int, rerank: int, share: float, near: float) -> Iterator[pa.RecordBatch]:
+    """Rows come by shard, a shard's own rows (role 0) before its queries (role 1)."""
+    held: list[pa.RecordBatch] = []
+    now, shard = None, None
+    for batch in batches:
+        keys = np.column_stack([batch.column(c).to_numpy() for c in (0, 1, 2)])
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else []
+        for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=False):
+            part, (band, number, role) = batch.slice(lo, hi - lo), keys[lo]
+            if (band, number) != now:
+                now, shard, held = (band, number), None, []
+            if role == 0:
+                held.append(part)
+                continue
+            if not held and shard is None:
+                continue
+            if shard is None:
+                whole = pa.Table.from_batches(held)
+                shard, held = Shard(whole["row"].to_numpy(), whole["vec_id"].to_numpy(), matrix(whole["embedding"]), int(band), pivots, prefix), []
+            row, ids = part.column("row").to_numpy(), part.column("vec_id").to_numpy()
+            q, v, score = shard.ask(row, matrix(part.column("embedding")), k, rerank, share, near)
+            yield pa.RecordBatch.from_arrays([pa.array(row[q], pa.int64()), pa.array(ids[q], pa.int64()), pa.array(shard.ids[v], pa.int64()), pa.array(score, pa.float64())], names=["query", "query_id", "vec_id", "score"])
 
 
-def search(rows: DataFrame, is_query, k: int = 20, pivots: int = 512, prefix: int = 64, rerank: float = 0.2, least_rerank: int = 3072, near: float = 0.5, shard_rows: int = 16384, query_rows: int = 512) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 20, pivots: int = 512, prefix: int = 128, rerank: int = 4, share: float = 0.04, near: float = 0.3, shard_rows: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which is_query(vec_id) holds."""
     good = usable(rows.where("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding"))
-    good = save(good.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    banded = good.withColumn("band", F.round(4 * F.log2(norm)).cast("int"))
-    # one number a band; bands are as many as quarter powers of two that norms span
-    sizes = {r.band: r.n for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
-    empty = good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    banded = good.withColumn("band", F.round(4 * F.log2(norm)).cast("int")).withColumn("row", F.monotonically_increasing_id())
+    good = save(banded, "vectors")
+    # bands are as many as quarter powers of two that norms span
+    sizes = {r.band: r.n for r in good.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return empty
+        return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # near copies among pivots would order other vectors' lists by chance
     anchors = spread_out(sample(good, 4 * pivots), pivots)
     # pivots are taken as vectors of the edge of their own band
@@ -134,15 +158,13 @@ def search(rows: DataFrame, is_query, k: int = 20, pivots: int = 512, prefix: in
     anchors = np.column_stack([anchors, tail]) / edges[:, None]
     used = min(prefix, len(anchors))
 
-    shards = F.create_map(*(F.lit(x) for b, n in sizes.items() for x in (b, -(-n // shard_rows))))
-    counts = F.create_map(*(F.lit(x) for b, n in sizes.items() for x in (b, n)))
-    queries = good.where(is_query(F.col("vec_id")))
-    n_queries = queries.count()
-    blocks = max(1, -(-n_queries // query_rows))
-    indexed = banded.select("vec_id", "embedding", "band", counts[F.col("band")].alias("band_rows"), F.pmod(F.xxhash64("vec_id"), shards[F.col("band")]).cast("int").alias("shard"), F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    # a query goes to every shard of every band: its block is joined to all of them
-    to = queries.withColumn("band", F.explode(F.array(*(F.lit(b) for b in sizes)))).withColumn("shard", F.explode(F.sequence(F.lit(0), shards[F.col("band")].cast("int") - 1)))
-    asked = to.select("vec_id", "embedding", "band", counts[F.col("band")].alias("band_rows"), "shard", F.lit(1).alias("role"), F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    found = indexed.unionByName(asked).groupBy("block", "band", "shard").applyInArrow(lambda t: _search(t, anchors, used, k, rerank, least_rerank, near), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    shards = {b: -(-n // shard_rows) for b, n in sizes.items()}
+    count = F.create_map(*(F.lit(x) for pair in shards.items() for x in pair))
+    columns = ["row", "vec_id", "embedding"]
+    own = good.select("band", F.pmod(F.xxhash64("row"), count[F.col("band")]).cast("int").alias("shard"), F.lit(0).alias("role"), *columns)
+    asked = good.where(is_query(F.col("vec_id"))).select(F.explode(F.array(*(F.lit(b) for b in sizes))).alias("band"), *columns)
+    asked = asked.select("band", F.explode(F.sequence(F.lit(0), count[F.col("band")].cast("int") - 1)).alias("shard"), F.lit(1).alias("role"), *columns)
+    dealt = own.unionByName(asked).repartition(sum(shards.values()), "band", "shard").sortWithinPartitions("band", "shard", "role")
+    found = dealt.mapInArrow(lambda it: _search(it, anchors, used, k, rerank, share, near), "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

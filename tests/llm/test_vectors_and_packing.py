@@ -28,7 +28,8 @@ def test_search_equals_brute_force_on_small_tables(spark):
     x[50:60] = x[40]  # ties
     rows = vectors(spark, x, BAD)
     found = defaultdict(list)
-    for r in permutation_ann.search(rows.union(rows.where("vec_id = 7")), lambda v: v % 20 == 0).orderBy("query_id", "rank").collect():
+    # all of a shard is ranked again
+    for r in permutation_ann.search(rows, lambda v: v % 20 == 0, share=1.0, shard_rows=64).orderBy("query_id", "rank").collect():
         found[r.query_id].append((r.vec_id, r.score))
     y = x.astype(float)
     for q in range(0, 300, 20):
@@ -39,11 +40,20 @@ def test_search_equals_brute_force_on_small_tables(spark):
     assert permutation_ann.search(rows.where("false"), lambda v: v % 20 == 0).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = vectors(spark, x, [(7, [float(v) for v in x[20] * 2], 0, "h"), (20, [float(v) for v in x[20]], 0, "h")])
+    found = permutation_ann.search(rows, lambda v: v % 20 == 0, k=70, share=1.0).where("query_id = 20").collect()
+    # each of the two rows with id 20 finds the other and all the rest
+    assert len(found) == 2 * 61 and sum(r.vec_id == 20 for r in found) == 2 and sum(r.vec_id == 7 for r in found) == 4
+
+
 def test_search_recall_with_real_pruning(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    got = permutation_ann.search(vectors(spark, x), lambda v: v % 100 == 0, least_rerank=0, rerank=0.2, shard_rows=1000).toPandas()
+    got = permutation_ann.search(vectors(spark, x), lambda v: v % 100 == 0, shard_rows=1000).toPandas()
     y = x.astype(np.float32).astype(float)
     hits = sum(len(set(g.vec_id) & set(np.argsort(-np.where(np.arange(3000) == q, -9, y @ y[q]))[:20])) for q, g in got.groupby("query_id"))
     assert hits / (30 * 20) >= 0.9
@@ -77,6 +87,34 @@ def test_pq_links_equal_brute_force(spark):
     assert pq_dedup.near_duplicates(vectors(spark, x).where("false")).count() == 0
 
 
+def test_forest_joins_what_edges_join():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (10, 6), (200, 150), (300, 900)):
+        p, q = rng.integers(0, n, (2, m))
+        keep = p != q
+        label = np.arange(n)
+        a, b = pq_dedup._joined(label, p[keep], q[keep])
+        root = np.arange(n)
+        for _ in range(n):
+            np.minimum.at(root, p, root[q])
+            np.minimum.at(root, q, root[p])
+        assert (label == root).all() and len(a) == n - len(set(root.tolist()))
+        again = np.arange(n)
+        assert len(pq_dedup._joined(again, a, b)[0]) == len(a) and (again == root).all()
+
+
+def test_a_crowd_of_near_copies_in_one_list_takes_seconds(spark):
+    import time
+
+    rng = np.random.default_rng(5)
+    x = (np.ones((4000, 64)) + rng.normal(size=(4000, 64)) * 0.05).astype(np.float32)
+    rows = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)] + [(9999, x[0].tolist())] * 3, "vec_id long, embedding array<float>")
+    began = time.time()
+    found = pq_dedup.near_duplicates(rows).collect()
+    assert time.time() - began < 60
+    assert {r.component_id for r in found} == {0} and {r.n_links for r in found} == {4002} and len(found) == 4003
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, length long, no string"
 
 
