@@ -32,6 +32,29 @@ VIEWS = {
         FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
     "results": """SELECT l.*, c.code, c.category, c.model, c.supplier, c.market_price, c.cost_price, c.image_url, c.unit AS product_unit, c.name AS product_name, c.brand AS product_brand
         FROM {lines} AS l JOIN {catalog} AS c ON c.catalog_idx = l.catalog_idx""",
+    # lines with candidates: n_matches of them, the first with best_score; some have a selected product, some an alternative
+    "work": """SELECT *, catalog_idx % 4 AS n_matches, CAST(catalog_idx * 37 % 100 AS DOUBLE) / 100 AS best_score, action = 'select' AND catalog_idx % 5 <> 0 AS has_selected,
+        catalog_idx % 8 = 0 AS has_alternative, image_url IS NOT NULL AS has_image FROM {results}""",
+    "sheet_files": """SELECT c_custkey AS file_id, c_custkey % 6 + 3 AS n_headers, c_mktsegment AS header_signature, 'i' || CAST(c_nationkey AS STRING) AS identifier_signature, CASE WHEN c_custkey % 3 = 0 THEN 'ocr' ELSE 'excel' END AS source_type FROM {customer}""",
+    "sheet_identifiers": """SELECT o_custkey AS file_id, o_orderpriority AS identifier FROM {orders} UNION SELECT o_custkey, 's' || o_orderstatus FROM {orders}""",
+    "templates": """SELECT s_suppkey AS ordinal, s_name AS name, s_suppkey % 6 + 3 AS n_mapping, CASE s_suppkey % 4 WHEN 0 THEN 'FURNITURE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN '' ELSE 'MACHINERY' END AS header_signature, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'i' || CAST(s_nationkey AS STRING) END AS identifier_signature,
+        s_suppkey % 14 AS usage_count, s_suppkey % 13 AS confirm_count, s_suppkey % 7 AS manual_save_count, s_suppkey % 9 AS mapping_change_count, CASE WHEN s_suppkey % 2 = 0 THEN 'ocr' ELSE 'excel' END AS source_type, CAST('2024-03-01 12:00:00' AS TIMESTAMP) - INTERVAL 5 DAY AS last_used_at FROM {supplier}""",
+    "template_identifiers": """SELECT name, identifier FROM {templates} JOIN (SELECT DISTINCT o_orderpriority AS identifier FROM {orders}) AS p ON ordinal % 5 < length(identifier) % 7 UNION SELECT name, 'sF' FROM {templates} WHERE ordinal % 3 <> 1""",
+    # quote sheets cell by cell: a title, a header, one row per line; some without a title, some with a header of two rows, some lying on their side
+    "sheet_cells": """SELECT quote_id AS file_id, CASE WHEN quote_id % 5 = 0 THEN col_idx ELSE row_idx END AS row_idx, CASE WHEN quote_id % 5 = 0 THEN row_idx ELSE col_idx END AS col_idx, value FROM (
+        SELECT quote_id, CAST(item_index + CASE WHEN quote_id % 5 = 2 THEN 2 WHEN quote_id % 5 IN (0, 1) THEN 0 ELSE 1 END AS BIGINT) AS row_idx, c AS col_idx, CASE c WHEN 0 THEN CAST(item_index AS STRING) WHEN 1 THEN '手套 ' || name WHEN 2 THEN unit WHEN 3 THEN CAST(CAST(quantity AS INT) AS STRING)
+            WHEN 4 THEN CASE WHEN item_index % 4 = 3 THEN '面议' ELSE CAST(budget_price AS STRING) END WHEN 5 THEN CASE WHEN item_index % 3 = 0 THEN NULL ELSE spec END ELSE CASE WHEN item_index % 2 = 0 THEN '符合GB 2626' ELSE remark END END AS value FROM {lines} CROSS JOIN {columns7}
+        UNION ALL SELECT quote_id, CAST(CASE WHEN quote_id % 5 IN (0, 1) THEN 0 ELSE 1 END AS BIGINT), c, CASE c WHEN 0 THEN '序号' WHEN 1 THEN '物资名称' WHEN 2 THEN '计量单位' WHEN 3 THEN '数量' WHEN 4 THEN '预算单价（元）' WHEN 5 THEN '规格型号' ELSE '备注' END FROM (SELECT DISTINCT quote_id FROM {lines}) AS q CROSS JOIN {columns7}
+        UNION ALL SELECT quote_id, CAST(2 AS BIGINT), c, CASE c WHEN 1 THEN '品名' WHEN 3 THEN '采购数量' WHEN 4 THEN '含税单价' WHEN 6 THEN '技术要求' END FROM (SELECT DISTINCT quote_id FROM {lines} WHERE quote_id % 5 = 2) AS q CROSS JOIN {columns7}
+        UNION ALL SELECT quote_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '报价单 ' || CAST(quote_id AS STRING) FROM (SELECT DISTINCT quote_id FROM {lines} WHERE quote_id % 5 IN (2, 3, 4)) AS q) AS s""",
+    "columns7": """SELECT CAST(c AS BIGINT) AS c FROM (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) AS k""",
+    # scanned quote lines as boxes: seven fields of every line at their places, some lines going on below, a note at the right
+    "boxes": """SELECT quote_id AS image_id, item_index * 10 + c AS box_no, CASE c WHEN 0 THEN CASE WHEN item_index % 3 = 0 THEN 'l' || CAST(item_index AS STRING) ELSE CAST(item_index AS STRING) END WHEN 1 THEN name WHEN 2 THEN spec WHEN 3 THEN color WHEN 4 THEN unit WHEN 5 THEN CAST(CAST(quantity AS INT) AS STRING) || CASE WHEN item_index % 5 = 0 THEN 'O' ELSE '' END
+            ELSE CASE WHEN item_index % 4 = 0 THEN 'x' || name ELSE '' END END AS text,
+        CAST((item_index * 7 + c * 13) % 60 + 40 AS DOUBLE) / 100 AS confidence,
+        CAST(CASE c WHEN 0 THEN 10 WHEN 1 THEN 100 WHEN 2 THEN 300 WHEN 3 THEN 520 WHEN 4 THEN 590 WHEN 5 THEN 660 ELSE 110 END AS INT) AS x1, CAST(CASE c WHEN 0 THEN 50 WHEN 1 THEN 180 WHEN 2 THEN 400 WHEN 3 THEN 560 WHEN 4 THEN 620 WHEN 5 THEN 700 ELSE 190 END AS INT) AS x2,
+        CAST(item_index * 100 + CASE WHEN c = 6 THEN 45 ELSE c % 3 * 2 END AS INT) AS y1, CAST(item_index * 100 + CASE WHEN c = 6 THEN 65 ELSE 20 + c % 3 * 2 END AS INT) AS y2 FROM {lines} CROSS JOIN {columns7}
+        UNION ALL SELECT quote_id, item_index * 10 + 7, '备注说明', CAST(0.9 AS DOUBLE), 900, 1000, CAST(item_index * 100 AS INT), CAST(item_index * 100 + 20 AS INT) FROM {lines}""",
     # raw request texts as customers write them
     "requests": """SELECT quote_id, item_index,
         CASE item_index % 8 WHEN 0 THEN '加厚布手套' WHEN 1 THEN ' 棉手套 ' WHEN 2 THEN '（防护）头盔/' WHEN 3 THEN '' WHEN 4 THEN upper(name) WHEN 5 THEN '雨 靴' ELSE name || ' ' || spec END AS raw_name,

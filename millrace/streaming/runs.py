@@ -12,12 +12,20 @@ from pyspark.sql.types import StructType
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only in local mode without the setting."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: for what several later steps read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
