@@ -11,6 +11,11 @@ def money(x: Column) -> Column:
     return F.round(x, 2)
 
 
+def finite(x: Column) -> Column:
+    """A number that can be shown; NaN and infinities are null."""
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+
+
 def exact_sum(x: Column) -> Column:
     """Sum in whole cents, so that neither the order of rows nor the partitioning shows."""
     return F.sum(x.cast("decimal(18,2)")).cast("double")

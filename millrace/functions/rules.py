@@ -81,24 +81,32 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", "")
 
 
+def _with(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def normalize_name(text: Column, aliases: dict[str, list[str]] = NAME_ALIASES) -> Column:
     """The canonical name: of an exact alias in rule order, else of the first rule one of whose words is contained, else the text without spaces."""
-    low = token(text)
-    exact, within = [], []
-    for name, others in aliases.items():
-        words = [_plain(w) for w in [name, *others]]
-        exact.append(F.when(low.isin(words), name))
-        some = [low.contains(w) for w in words if len(w) >= 2]
-        hit = some[0]
-        for x in some[1:]:
-            hit = hit | x
-        within.append(F.when(hit, name))
-    return F.coalesce(*exact, *within, compact(text))
+
+    def found(low: Column) -> Column:
+        exact, within = [], []
+        for name, others in aliases.items():
+            words = [_plain(w) for w in [name, *others]]
+            exact.append(F.when(low.isin(words), name))
+            some = [low.contains(w) for w in words if len(w) >= 2]
+            hit = some[0]
+            for x in some[1:]:
+                hit = hit | x
+            within.append(F.when(hit, name))
+        return F.coalesce(*exact, *within)
+
+    return F.coalesce(_with(token(text), found), compact(text))
 
 
 def normalize_unit(text: Column, units: dict[str, list[str]] = UNITS) -> Column:
-    low = token(text)
-    return F.coalesce(*(F.when(low.isin([_plain(w) for w in [name, *others]]), name) for name, others in units.items()), compact(text))
+    found = lambda low: F.coalesce(*(F.when(low.isin([_plain(w) for w in [name, *others]]), name) for name, others in units.items()))
+    return F.coalesce(_with(token(text), found), compact(text))
 
 
 def normalize_spec(text: Column) -> Column:
@@ -107,9 +115,8 @@ def normalize_spec(text: Column) -> Column:
     for pattern, by in SPEC_PATTERNS:
         out = F.regexp_replace(out, pattern if pattern == r"\s+" else f"\\Q{pattern}\\E", by)
     out = F.regexp_replace(F.lower(F.trim(out)), r"gb\s*[-/]?\s*(\d+)", "GB$1")
-    # a slash between the numbers of one standard, as many as it has
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(GB\d+(?:-\d+)*)/(\d)", "$1-$2")
+    # the slashes between the numbers of a standard, all of them: each has digits, dashes and slashes up to a GB before it
+    out = F.regexp_replace(out, r"(?<=GB[0-9/-]{1,200})/(?=\d)", "-")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"\s*x\s*", "x"), r"\s+", " "))
 
 

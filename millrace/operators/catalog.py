@@ -147,18 +147,26 @@ def search_for_lines(view: DataFrame, asked: DataFrame, most: int = 20) -> DataF
     """The best products for each request (ask_id, terms, unit) by where its terms occur; one per code.
 
     A term that is the name scores 120, within the name 70, the model 40, the
-    code 80, any text 15; an equal unit adds 10. Requests are few against the
-    catalogue: terms are matched by a nested loop over distinct terms.
+    code 80, any text 15; an equal unit adds 10. Requests with equal terms and
+    unit are searched for once. Terms meet distinct search texts by a nested
+    loop over distinct terms. What has the unit alone scores 10, less than any
+    hit of a term, so of these only the first of each unit are looked at, twice
+    as many as are shown.
     """
-    terms = asked.select(F.explode("terms").alias("term")).distinct().where("term <> ''").withColumn("low", F.lower("term"))
+    kinds = asked.select("ask_id", F.array_sort(F.array_distinct(F.filter("terms", lambda t: t != ""))).alias("terms"), F.coalesce("unit", F.lit("")).alias("wanted")).withColumn("kind", F.xxhash64("terms", "wanted"))
+    ways = kinds.select("kind", "terms", "wanted").distinct()
+    terms = ways.select(F.explode("terms").alias("term")).distinct().withColumn("low", F.lower("term"))
     name, model, code = F.lower("name"), F.lower("model"), F.lower("code")
     own = F.when(name == F.col("low"), 120).when(name.contains(F.col("low")), 70).otherwise(0)
-    score = own + F.when(model.contains(F.col("low")), 40).otherwise(0) + F.when(code.contains(F.col("low")), 80).otherwise(0) + F.when(F.col("search_text").contains(F.col("low")), 15).otherwise(0)
-    hits = view.join(terms, F.col("search_text").contains(F.col("low"))).select("term", "catalog_idx", score.alias("score"))
-    by_terms = asked.select("ask_id", F.explode(F.array_distinct("terms")).alias("term")).join(hits, "term").groupBy("ask_id", "catalog_idx").agg(F.sum("score").alias("score"))
-    by_unit = asked.where("unit <> ''").join(view.select("catalog_idx", F.col("unit").alias("u")), F.col("unit") == F.col("u")).select("ask_id", "catalog_idx", F.lit(10).cast("long").alias("score"))
-    scored = by_terms.unionByName(by_unit).groupBy("ask_id", "catalog_idx").agg(F.sum("score").alias("score"))
-    full = scored.join(view.select("catalog_idx", "code", "has_image", "market_price"), "catalog_idx")
-    one = Window.partitionBy("ask_id", "code").orderBy("catalog_idx")
-    best = Window.partitionBy("ask_id").orderBy(F.desc("score"), F.desc("has_image"), F.desc_nulls_last("market_price"), "catalog_idx")
-    return full.withColumn("n", F.row_number().over(one)).where("n = 1").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("ask_id", "rank", "catalog_idx", "score")
+    score = own + F.when(model.contains(F.col("low")), 40).otherwise(0) + F.when(code.contains(F.col("low")), 80).otherwise(0) + 15
+    hits = view.join(terms, F.col("search_text").contains(F.col("low"))).select("term", "catalog_idx", F.col("unit").alias("u"), score.alias("score"))
+    bonus = F.when((F.col("wanted") != "") & (F.col("u") == F.col("wanted")), 10).otherwise(0)
+    by_terms = ways.select("kind", "wanted", F.explode("terms").alias("term")).join(hits, "term").groupBy("kind", "wanted", "catalog_idx", "u").agg(F.sum("score").alias("score")).select("kind", "catalog_idx", (F.col("score") + bonus).alias("score"))
+    best_first = [F.desc("has_image"), F.desc_nulls_last("market_price"), F.col("catalog_idx")]
+    of_unit = view.select(F.col("unit").alias("wanted"), "catalog_idx", "has_image", "market_price").where("wanted <> ''").withColumn("n", F.row_number().over(Window.partitionBy("wanted").orderBy(*best_first))).where(F.col("n") <= 2 * most)
+    by_unit = ways.select("kind", "wanted").join(of_unit, "wanted").select("kind", "catalog_idx").join(by_terms, ["kind", "catalog_idx"], "left_anti").select("kind", "catalog_idx", F.lit(10).cast("long").alias("score"))
+    full = by_terms.unionByName(by_unit).join(view.select("catalog_idx", F.col("code").alias("c"), "has_image", "market_price"), "catalog_idx")
+    one = Window.partitionBy("kind", "c").orderBy("catalog_idx")
+    best = Window.partitionBy("kind").orderBy(F.desc("score"), *best_first)
+    top = full.withColumn("n", F.row_number().over(one)).where("n = 1").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    return kinds.select("ask_id", "kind").join(top, "kind").select("ask_id", "rank", "catalog_idx", "score")

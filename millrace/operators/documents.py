@@ -33,6 +33,11 @@ LAYOUTS = {
 }
 
 
+def filename_segment(text: Column) -> Column:
+    """A text as part of a file's name."""
+    return F.btrim(F.regexp_replace(text, r'[<>:"/\\|?*]', "_"), F.lit(" ._"))
+
+
 def _price(price_type: str, adjustment) -> Column:
     return M.export_price(F.col("action"), F.col("market_price"), F.col("cost_price"), price_type, adjustment)
 

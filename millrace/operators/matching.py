@@ -6,10 +6,13 @@ signal without a native form, is computed on distinct pairs of texts by an
 Arrow UDF, after native filters.
 
 Which pairs are scored: a pair reaches the least score only if it shares a
-word, a type, a brand or a standard, or its texts are alike by themselves
-(similarity of 0.5 from the ratio or from containment, which needs common
-characters). These are the blocking keys; no pair that could qualify lacks
-one, so the result is that of scoring all pairs.
+word, a type, a brand or a standard (the keys pairs are found by), or if its
+texts are alike by themselves, which gives 0.3 at most. So pairs by key come
+first, and only requests whose ``most``-th best of these is not above 0.3 are
+compared with other products, by blocks of texts of like length and by a bound
+on their common characters. In both steps the ratio, the costly signal, is
+computed only where the best it could be would reach the first ``most``.
+The result is that of scoring all pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql.types import DoubleType
 
 from millrace.functions import rules as R
 from millrace.operators.catalog import unescape
+from millrace.streaming.runs import saved
 
 LEAST = 0.15
 
@@ -54,20 +58,29 @@ def with_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.join(texts, [a, b])
 
 
-def _characters(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+#: Kinds of characters told apart in an outline, and how many of a kind it holds.
+KINDS, HELD = 20, 6
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Characters two texts have in common, with repeats."""
-    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
-    return F.aggregate(_characters(a), F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+def outline(text: Column) -> Column:
+    """A text's characters as bits: up to six of each of twenty kinds in two numbers, and how many more it has.
+
+    Common bits of two texts, and the lesser of their rests, bound the characters they have in common: characters of
+    one kind count as alike, so the bound is never too low.
+    """
+    kinds = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.pmod(F.xxhash64(c), F.lit(KINDS)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(KINDS - 1)), lambda k: F.size(F.filter(kinds, lambda x: x == k)))
+    unary = lambda n: F.pow(F.lit(2.0), F.least(n, F.lit(HELD))).cast("long") - 1
+    half = lambda lo: F.aggregate(F.slice(counts, lo + 1, KINDS // 2), F.lit(0).cast("long"), lambda acc, n: acc * (1 << HELD) + unary(n))
+    rest = F.aggregate(counts, F.lit(0), lambda acc, n: acc + F.greatest(n - HELD, F.lit(0)))
+    return F.struct(half(0).alias("a"), half(KINDS // 2).alias("b"), rest.alias("rest"), F.length(text).alias("n"))
 
 
-def _could_match(q: Column, p: Column) -> Column:
-    """Whether two texts can have a ratio of a half, or contain one another."""
-    short, long = F.least(F.length(q), F.length(p)), F.greatest(F.length(q), F.length(p))
-    return q.contains(p) | p.contains(q) | ((3 * short >= long) & (4 * _common(q, p) >= F.length(q) + F.length(p)))
+def _most_ratio(q: str, p: str) -> Column:
+    """The highest ratio that two texts with these outlines can have."""
+    common = F.bit_count(F.col(f"{q}.a").bitwiseAND(F.col(f"{p}.a"))) + F.bit_count(F.col(f"{q}.b").bitwiseAND(F.col(f"{p}.b"))) + F.least(F.col(f"{q}.rest"), F.col(f"{p}.rest"))
+    both = F.col(f"{q}.n") + F.col(f"{p}.n")
+    return F.least(F.lit(1.0), 2 * F.least(common, F.col(f"{q}.n"), F.col(f"{p}.n")) / both)
 
 
 def prepare_requests(requests: DataFrame, synonyms: DataFrame | None = None, tokenise=R.keywords) -> DataFrame:
@@ -78,6 +91,7 @@ def prepare_requests(requests: DataFrame, synonyms: DataFrame | None = None, tok
         .withColumn("q_text", F.trim(F.concat_ws(" ", "name", "spec"))).withColumn("q_words", tokenise(F.col("q_text")))
         .withColumn("spec_words", tokenise(F.col("spec"))).withColumn("q_gbs", R.gb_numbers(F.col("spec")))
         .withColumn("wanted", F.when(F.col("brand") != "", F.col("brand")).otherwise(R.brand_in_name(F.col("name")))).withColumn("ask", F.xxhash64("name", "spec", "brand"))
+        .withColumn("q_types", _type_ids(F.col("name"), True)).withColumn("q_line", outline(F.col("q_text")))
     )
     if synonyms is None:
         return out.withColumn("q_wide", F.col("q_words"))
@@ -91,6 +105,7 @@ def prepare_products(products: DataFrame, tokenise=R.keywords) -> DataFrame:
         products.where("name <> ''").select(F.col("name").alias("p_name"), F.coalesce("model", F.lit("")).alias("p_model"), F.coalesce("brand", F.lit("")).alias("p_brand")).distinct()
         .withColumn("p_text", F.trim(F.concat_ws(" ", "p_name", spec_text(F.col("p_model"), F.lit(""), F.lit(""))))).withColumn("p_words", tokenise(F.col("p_text")))
         .withColumn("p_gbs", R.gb_numbers(F.col("p_text"))).withColumn("prod", F.xxhash64("p_name", "p_model", "p_brand"))
+        .withColumn("p_types", _type_ids(F.col("p_name"), False)).withColumn("p_line", outline(F.col("p_text")))
     )
 
 
@@ -109,36 +124,75 @@ def _type_ids(text: Column, by_name: bool) -> Column:
 
 
 def candidate_pairs(asks: DataFrame, prods: DataFrame) -> DataFrame:
-    """(ask, prod): the pairs that share a blocking key and pass its test."""
+    """(ask, prod): the pairs that share a word, a standard, a type or a brand."""
     tag = lambda words, kind: F.transform(words, lambda w: F.concat(F.lit(kind + ":"), w))
-    ask_keys = F.concat(tag(F.col("q_wide"), "w"), tag(F.col("spec_words"), "w"), tag(F.col("q_gbs"), "g"), _type_ids(F.col("name"), True))
-    prod_keys = F.concat(tag(F.col("p_words"), "w"), tag(F.col("p_gbs"), "g"), _type_ids(F.col("p_name"), False))
+    ask_keys = F.concat(tag(F.col("q_wide"), "w"), tag(F.col("q_words"), "w"), tag(F.col("spec_words"), "w"), tag(F.col("q_gbs"), "g"), F.col("q_types"))
+    prod_keys = F.concat(tag(F.col("p_words"), "w"), tag(F.col("p_gbs"), "g"), F.col("p_types"))
     by_key = asks.select("ask", F.explode(F.array_distinct(ask_keys)).alias("key")).join(prods.select("prod", F.explode(F.array_distinct(prod_keys)).alias("key")), "key").select("ask", "prod")
     # brands: few against few
     brands = prods.select("p_brand", "p_name").distinct()
     wanted = asks.where("wanted <> ''").select("wanted").distinct()
     branded = wanted.join(brands, R.brand_score(F.col("wanted"), F.col("p_brand"), F.col("p_name")) > 0)
     by_brand = asks.select("ask", "wanted").join(branded, "wanted").join(prods.select("prod", "p_brand", "p_name"), ["p_brand", "p_name"]).select("ask", "prod")
-    # alike by their characters alone: texts meet on their characters, distinct texts once
-    q = asks.select("q_text").distinct().select("q_text", F.explode(_characters(F.col("q_text"))).alias("c"))
-    p = prods.select("p_text").distinct().select("p_text", F.explode(_characters(F.col("p_text"))).alias("c"))
-    alike = q.join(p, "c").select("q_text", "p_text").distinct().where(_could_match(F.col("q_text"), F.col("p_text")))
-    by_text = asks.select("ask", "q_text").join(alike, "q_text").join(prods.select("prod", "p_text"), "p_text").select("ask", "prod")
-    return by_key.union(by_brand).union(by_text).distinct()
+    return by_key.union(by_brand).distinct()
+
+
+def alike_pairs(asks: DataFrame, prods: DataFrame) -> DataFrame:
+    """(ask, prod): pairs whose texts contain one another or could have a ratio of a half.
+
+    Distinct texts meet by blocks: a text is in the block of its length (powers of three), products in those beside it
+    too, so that no two texts of which one is at most three times as long as the other are missed; texts that contain
+    one another at any length share the rarest of the shorter one's pairs of characters. Blocks are split in slices.
+    """
+    slices = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(3.0)) + 1e-9).cast("int")
+    q = asks.where("q_text <> ''").select("q_text", "q_line").distinct()
+    p = prods.where("p_text <> ''").select("p_text", "p_line").distinct()
+    near_q = q.withColumn("slice", F.pmod(F.xxhash64("q_text"), F.lit(slices)).cast("int")).withColumn("block", block("q_text"))
+    near_p = p.withColumn("block", F.explode(F.array(*(block("p_text") + k for k in (-1, 0, 1))))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    near = near_q.join(near_p, ["block", "slice"]).where(_most_ratio("q_line", "p_line") >= 0.5).select("q_text", "p_text")
+    pairs = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))
+    singles = lambda c: F.array_distinct(F.concat(pairs(c), F.filter(F.split(c, ""), lambda x: x != "")))
+
+    def inside(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+        held = long.select(t, F.explode(singles(F.col(t))).alias("pair"))
+        times = held.groupBy("pair").agg(F.count(F.lit(1)).alias("times"))
+        rarest = short.select(s, F.explode(pairs(F.col(s))).alias("pair")).join(times, "pair", "left").groupBy(s).agg(F.min_by("pair", F.struct(F.coalesce("times", F.lit(0)), "pair")).alias("pair"))
+        return rarest.join(held, "pair").where(F.col(t).contains(F.col(s))).select("q_text", "p_text")
+
+    found = near.union(inside(q, "q_text", p, "p_text")).union(inside(p, "p_text", q, "q_text")).distinct()
+    return asks.select("ask", "q_text").join(found, "q_text").join(prods.select("prod", "p_text"), "p_text").select("ask", "prod")
+
 
+def _rounded_up(score: Column) -> Column:
+    return score + 0.0005 + 1e-9
 
-def score_pairs(pairs: DataFrame, asks: DataFrame, prods: DataFrame, least: float = LEAST) -> DataFrame:
-    """(ask, prod, score and its parts) of the pairs that reach the least score."""
-    full = with_ratio(pairs.join(asks, "ask").join(prods, "prod"), "q_text", "p_text")
+
+def score_pairs(pairs: DataFrame, asks: DataFrame, prods: DataFrame, least: float = LEAST, most: int | None = None, beaten: DataFrame | None = None) -> DataFrame:
+    """(ask, prod, score and its parts) of the pairs that reach the least score.
+
+    With most, pairs that cannot be among the first most products of their request are left out before the ratio is
+    computed; beaten (ask, bar) is a score that others have reached already.
+    """
+    full = pairs.join(asks, "ask").join(prods, "prod")
     share = lambda words: F.size(F.array_intersect(words, "p_words")) / F.greatest(F.size(words), F.lit(1))
     spec = F.when(F.col("spec") != "", F.when(F.arrays_overlap("q_gbs", "p_gbs"), 0.3).otherwise(0.0) + share("spec_words") * 0.2).otherwise(0.0)
-    parts = full.withColumns({
-        "similarity": similarity(F.col("ratio"), F.col("q_text"), F.col("p_text"), F.col("q_words"), F.col("p_words")),
-        "type_match": R.type_score(F.col("name"), F.col("p_name")),
-        "keyword_overlap": share("q_wide"),
-        "spec_match": spec,
+    full = full.withColumns({
+        "type_match": F.when(F.arrays_overlap("q_types", "p_types"), 0.9).otherwise(0.0), "keyword_overlap": share("q_wide"), "spec_match": spec,
         "brand_match": R.brand_score(F.col("wanted"), F.col("p_brand"), F.col("p_name")),
-    }).withColumn("final", F.col("similarity") * 0.30 + F.col("type_match") * 0.20 + F.col("keyword_overlap") * 0.20 + F.col("spec_match") * 0.10 + F.col("brand_match") * 0.20)
+    })
+    like = lambda ratio: similarity(ratio, F.col("q_text"), F.col("p_text"), F.col("q_words"), F.col("p_words"))
+    # in this order: sums of doubles
+    final = lambda c: c * 0.30 + F.col("type_match") * 0.20 + F.col("keyword_overlap") * 0.20 + F.col("spec_match") * 0.10 + F.col("brand_match") * 0.20
+    if most is not None:
+        full = full.withColumn("at_most", final(like(_most_ratio("q_line", "p_line")))).where(_rounded_up(F.col("at_most")) >= least)
+        full = full.withColumn("at_least", final(like(F.lit(0.0))))
+        ranked = full.select("ask", "at_least").withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("at_least"))))
+        bars = ranked.where(F.col("n") == most).select("ask", F.col("at_least").alias("bar"))
+        bars = bars.union(beaten.select("ask", "bar")).groupBy("ask").agg(F.max("bar").alias("bar")) if beaten is not None else bars
+        full = full.join(bars, "ask", "left").where(F.col("bar").isNull() | (_rounded_up(F.col("at_most")) >= F.col("bar") - 0.0005)).drop("bar", "at_most", "at_least")
+    full = with_ratio(full, "q_text", "p_text")
+    parts = full.withColumn("similarity", like(F.col("ratio"))).withColumn("final", final(F.col("similarity")))
     rounded = [F.round(c, 3).alias(c) for c in ("similarity", "type_match", "keyword_overlap", "spec_match", "brand_match")]
     return parts.where(F.col("final") >= least).select("ask", "prod", "name", "spec", "brand", "p_name", "p_model", "p_brand", F.round("final", 3).alias("score"), F.when(F.col("final") >= 0.7, "exact").otherwise("fuzzy").alias("match_type"), (F.col("brand_match") > 0.5).alias("brand_matched"), *rounded)
 
@@ -148,9 +202,17 @@ def match(requests: DataFrame, products: DataFrame, synonyms: DataFrame | None =
 
     all_pairs scores every pair of distinct texts, for tests of the blocking.
     """
-    asks, prods = prepare_requests(requests, synonyms, tokenise), prepare_products(products, tokenise)
-    pairs = asks.select("ask").crossJoin(prods.select("prod")) if all_pairs else candidate_pairs(asks, prods)
-    scored = score_pairs(pairs, asks, prods)
+    asks, prods = saved(prepare_requests(requests, synonyms, tokenise), "asks"), saved(prepare_products(products, tokenise), "products")
+    if all_pairs:
+        scored = score_pairs(asks.select("ask").crossJoin(prods.select("prod")), asks, prods)
+    else:
+        by_key = saved(candidate_pairs(asks, prods), "pairs")
+        scored = saved(score_pairs(by_key, asks, prods, most=most), "scored")
+        # texts that share no key give 0.3 at most
+        bars = scored.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score")))).where(F.col("n") == most).select("ask", F.col("score").alias("bar"))
+        open_ = asks.join(bars.where("bar > 0.3005"), "ask", "left_anti")
+        rest = alike_pairs(open_, prods).join(by_key, ["ask", "prod"], "left_anti")
+        scored = scored.union(score_pairs(rest, asks, prods, most=most, beaten=bars))
     rows = products.select("catalog_idx", F.col("name").alias("p_name"), F.coalesce("model", F.lit("")).alias("p_model"), F.coalesce("brand", F.lit("")).alias("p_brand"))
     # a text's products beyond the first ``most`` cannot rank
     first = Window.partitionBy("p_name", "p_model", "p_brand").orderBy("catalog_idx")
@@ -161,10 +223,17 @@ def match(requests: DataFrame, products: DataFrame, synonyms: DataFrame | None =
 
 def keyword_search(words: DataFrame, products: DataFrame, most: int = 50) -> DataFrame:
     """(keyword, rank, catalog_idx, score): 1.0 where the name contains the keyword, else a similarity of 0.3 or more."""
-    names = products.select("name").where("name <> ''").distinct()
-    pairs = words.select("keyword").distinct().join(names)
+    names = products.select("name").where("name <> ''").distinct().withColumn("pl", outline(F.col("name")))
+    asked = words.select("keyword").where("keyword <> ''").distinct().withColumn("ql", outline(F.col("keyword")))
+    # distinct names are dealt to slices, and every slice gets the distinct keywords
+    slices = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = names.withColumn("slice", F.pmod(F.xxhash64("name"), F.lit(slices)).cast("int"))
+    pairs = names.join(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), "slice")
     inside = F.lower("name").contains(F.lower("keyword"))
-    rest = with_ratio(pairs.where(~inside), "keyword", "name").withColumn("score", similarity(F.col("ratio"), F.col("keyword"), F.col("name"), R.keywords(F.col("keyword")), R.keywords(F.col("name"))))
+    # keywords with a page of names that contain them need no more
+    full = pairs.where(inside).groupBy("keyword", "name").agg(F.lit(1)).join(products.select("name", "catalog_idx"), "name").groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+    open_ = pairs.where(~inside).where(similarity(_most_ratio("ql", "pl"), F.col("keyword"), F.col("name"), R.keywords(F.col("keyword")), R.keywords(F.col("name"))) >= 0.3).join(full, "keyword", "left_anti")
+    rest = with_ratio(open_.select("keyword", "name"), "keyword", "name").withColumn("score", similarity(F.col("ratio"), F.col("keyword"), F.col("name"), R.keywords(F.col("keyword")), R.keywords(F.col("name"))))
     found = pairs.where(inside).select("keyword", "name", F.lit(1.0).alias("score")).union(rest.where("score >= 0.3").select("keyword", "name", "score"))
     order = Window.partitionBy("keyword").orderBy(F.desc("score"), "catalog_idx")
     return found.join(products.select("catalog_idx", "name"), "name").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("keyword", "rank", "catalog_idx", F.round("score", 6).alias("score"))
@@ -175,14 +244,22 @@ def alternatives(requests: DataFrame, products: DataFrame, limit: int = 5) -> Da
 
     The second kind is taken only where the first gives fewer than limit, until there are twice as many; the best stay.
     """
-    names = requests.select("name").where("name <> ''").distinct()
+    names = saved(requests.select("name").where("name <> ''").distinct(), "names")
     hints = F.flatten(F.array(*(F.when(F.col("name").contains(h), F.array(*map(F.lit, cs))).otherwise(F.array().cast("array<string>")) for h, cs in R.CATEGORY_HINTS.items())))
     p = products.select("catalog_idx", F.col("name").alias("p_name"), "category", "has_image")
     hinted = names.withColumn("hints", hints).where("size(hints) > 0")
-    near = hinted.join(p, F.exists("hints", lambda h: F.col("category").contains(h) | F.col("p_name").contains(h)))
-    like = lambda rows: with_ratio(rows, "name", "p_name").withColumn("like", similarity(F.col("ratio"), F.col("name"), F.col("p_name"), R.keywords(F.col("name")), R.keywords(F.col("p_name"))))
+    # hints and distinct category and name texts are few; products are found by equality with those that hold a hint
+    held = p.select("category", "p_name").distinct().withColumn("hint", F.explode(F.filter(F.array(*map(F.lit, sorted({c for cs in R.CATEGORY_HINTS.values() for c in cs}))), lambda h: F.col("category").contains(h) | F.col("p_name").contains(h))))
+    near = hinted.withColumn("hint", F.explode("hints")).join(held, "hint").select("name", "category", "p_name").distinct().join(p, ["category", "p_name"])
+
+
+    def like(rows: DataFrame) -> DataFrame:
+        # scored once per distinct pair of texts, with words as columns of their own
+        texts = rows.select("name", "p_name").distinct().select("name", "p_name", R.keywords(F.col("name")).alias("kn"), R.keywords(F.col("p_name")).alias("kp"), sequence_ratio(F.col("name"), F.col("p_name")).alias("ratio"))
+        return rows.join(texts.select("name", "p_name", similarity(F.col("ratio"), F.col("name"), F.col("p_name"), F.col("kn"), F.col("kp")).alias("like")), ["name", "p_name"])
+
     score = F.round(F.col("like") + F.when(F.col("has_image"), 0.01).otherwise(0.0), 3)
-    one = like(near).where("like >= 0.2").select("name", "catalog_idx", score.alias("score"), F.lit("同类商品").alias("reason"))
+    one = saved(like(near).where("like >= 0.2").select("name", "catalog_idx", score.alias("score"), F.lit("同类商品").alias("reason")), "hinted")
     counts = names.join(one.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < limit)
     words = lambda rows, c, keep: rows.select(*keep, F.explode(R.keywords(F.col(c))).alias("word"))
     shared = words(names.join(counts, "name"), "name", ["name", "n"]).join(words(p, "p_name", ["catalog_idx"]), "word").groupBy("name", "n", "catalog_idx").agg(F.count(F.lit(1)).alias("both")).where("both >= 2")
@@ -235,7 +312,7 @@ def recognise_brand(text: Column, brands: list[str]) -> Column:
 
 
 def semantic(queries: DataFrame, vectors: DataFrame, least: float = 0.3, most: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): the vectors with a cosine of least or more, best first.
+    """(query_id, rank, vec_id, score): the vectors, but the query's own, with a cosine of least or more, best first.
 
     Queries are a stated set against all rows, which are dealt to slices; every
     slice gets the queries, so no task holds all rows. Norms are computed once a row.
@@ -245,7 +322,7 @@ def semantic(queries: DataFrame, vectors: DataFrame, least: float = 0.3, most: i
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumn("nq", norm_of("q")).where("nq > 0").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     v = vectors.withColumn("nv", norm).where("nv > 0").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int"))
     dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = v.join(q, "slice").where(F.size("q") == F.size("embedding")).select("query_id", "vec_id", (dot / (F.col("nq") * F.col("nv"))).alias("score")).where(F.col("score") >= least)
+    scored = v.join(q, "slice").where((F.col("vec_id") != F.col("query_id")) & (F.size("q") == F.size("embedding"))).select("query_id", "vec_id", (dot / (F.col("nq") * F.col("nv"))).alias("score")).where(F.col("score") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
@@ -267,6 +344,12 @@ def fuse(traditional: DataFrame, semantic_scores: DataFrame, products: DataFrame
     return full.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("ask_id", "rank", "catalog_idx", "score")
 
 
+def cache_stats(texts: DataFrame) -> DataFrame:
+    """One row: texts, distinct ones (which is how many vectors a cache of all of them has), and their characters."""
+    by_text = texts.groupBy(F.md5("text").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("c"))
+    return by_text.agg(F.sum("n").alias("texts"), F.count(F.lit(1)).alias("cached"), F.sum("c").alias("chars"))
+
+
 def uncached(texts: DataFrame, cache: DataFrame) -> DataFrame:
     """(text_hash, text): the distinct texts without a cached vector."""
     return texts.select(F.md5("text").alias("text_hash"), "text").dropDuplicates(["text_hash"]).join(cache.select("text_hash"), "text_hash", "left_anti")

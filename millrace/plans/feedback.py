@@ -49,10 +49,7 @@ def feedback_overall(asked, feedback):
 {half_up("sum(CASE WHEN action = 'ask_boss' THEN feedback_weight ELSE 0 END)")} AS ask_boss, count(*) FILTER (template_hit) AS template_hits, count(*) FILTER (mapping_changed) AS mapping_changes FROM n GROUP BY 1""")
 def feedback_by_signature(feedback):
     """The newest fifty of each signature, by stored weight alone."""
-    w = F.col("feedback_weight").cast("double")
-    return L.newest(feedback, ["query_signature"], 50).groupBy("query_signature").agg(
-        F.count(F.lit(1)).alias("feedback_count"), F.round(F.sum(F.when(F.col("action") == "no_match", w).otherwise(0.0)), 2).alias("no_match"), F.round(F.sum(F.when(F.col("action") == "ask_boss", w).otherwise(0.0)), 2).alias("ask_boss"),
-        F.count_if("template_hit").alias("template_hits"), F.count_if("mapping_changed").alias("mapping_changes"))
+    return L.by_signature(feedback)
 
 
 @query("feedback", sql="SELECT action, count(*) AS n FROM {feedback} GROUP BY 1")
@@ -72,12 +69,13 @@ def feedback_append(feedback):
     return L.append(log.where("id % 2 = 0").select("id", "action"), log.where("id % 2 = 1")).select("id", "action", "feedback_weight", "mapping_signature", "template_name")
 
 
-CAND = """SELECT a.ask_id, c.code, c.catalog_idx, c.image_url IS NOT NULL AS has_image, (300 + (c.catalog_idx * 37) % 500)::DOUBLE / 1000 AS score FROM a JOIN {catalog} AS c ON c.catalog_idx < 20"""
+# every product is a candidate for a fortieth of the requests
+CAND = """SELECT a.ask_id, c.code, c.catalog_idx, c.image_url IS NOT NULL AS has_image, (300 + (c.catalog_idx * 37) % 500)::DOUBLE / 1000 AS score FROM a JOIN {catalog} AS c ON c.catalog_idx % 40 = CAST(substr(a.query_signature, 2) AS BIGINT)"""
 
 
 def _candidates(asked, catalog):
-    c = catalog.where("catalog_idx < 20").select("code", "catalog_idx", F.col("image_url").isNotNull().alias("has_image"), ((300 + (F.col("catalog_idx") * 37) % 500).cast("double") / 1000).alias("score"))
-    return _asked(asked).select("ask_id").join(c)
+    c = catalog.select("code", "catalog_idx", (F.col("catalog_idx") % 40).alias("k"), F.col("image_url").isNotNull().alias("has_image"), ((300 + (F.col("catalog_idx") * 37) % 500).cast("double") / 1000).alias("score"))
+    return _asked(asked).select("ask_id", F.expr("cast(substr(query_signature, 2) as bigint)").alias("k")).join(c, "k").drop("k")
 
 
 @query("asked", "feedback", "catalog", sql=f"""WITH {WEIGHTED}, bc AS (SELECT ask_id, code, {half_up("sum(CASE WHEN action = 'select' THEN weight ELSE 0 END)", 4)} AS selected, {half_up("sum(CASE WHEN action = 'select' AND with_product_image THEN weight ELSE 0 END)", 4)} AS selected_image,
@@ -85,13 +83,11 @@ def _candidates(asked, catalog):
 o AS (SELECT ask_id, count(*) AS feedback_count, {half_up("sum(CASE WHEN template_hit THEN weight ELSE 0 END)")} AS t, {half_up("sum(CASE WHEN mapping_changed THEN weight ELSE 0 END)")} AS m FROM w GROUP BY 1), c AS ({CAND}),
 p AS (SELECT c.ask_id, c.catalog_idx, c.score AS base_score, least(coalesce(selected, 0) * 0.08::DOUBLE, 0.28::DOUBLE) AS sb, least(coalesce(selected_image, 0) * 0.03::DOUBLE, 0.08::DOUBLE) + CASE WHEN has_image THEN 0.015::DOUBLE ELSE 0 END AS ib, least(coalesce(t, 0) * 0.008::DOUBLE, 0.04::DOUBLE) AS tb,
 least(coalesce(m, 0) * 0.01::DOUBLE, 0.05::DOUBLE) AS mp, least(coalesce(rejected, 0) * 0.06::DOUBLE, 0.18::DOUBLE) AS rp, coalesce(feedback_count, 0) AS feedback_count FROM c LEFT JOIN bc USING (ask_id, code) LEFT JOIN o USING (ask_id))
-SELECT ask_id, catalog_idx, base_score, {half_up('greatest(0, least(1, base_score + sb + ib + tb - rp - mp))')} AS score2, feedback_count, concat_ws(' / ', CASE WHEN round(sb, 3) > 0 THEN '历史确认' END, CASE WHEN round(ib, 3) > 0.02 THEN '图片辅助' END, CASE WHEN round(tb, 3) > 0 THEN '模板经验' END,
+SELECT ask_id, catalog_idx, base_score, {half_up('greatest(0, least(1, base_score + sb + ib + tb - rp - mp))', 3)} AS score, feedback_count, concat_ws(' / ', CASE WHEN round(sb, 3) > 0 THEN '历史确认' END, CASE WHEN round(ib, 3) > 0.02 THEN '图片辅助' END, CASE WHEN round(tb, 3) > 0 THEN '模板经验' END,
 CASE WHEN round(rp, 3) > 0 THEN '曾被排除' END, CASE WHEN round(mp, 3) > 0 THEN '人工修正痕迹' END) AS reason FROM p""")
 def learning_adjust(asked, feedback, catalog):
     w = _weighted(asked, feedback)
-    out = L.adjust(_candidates(asked, catalog).withColumn("raw", F.col("score")), L.by_code(w), L.overall(w))
-    exact = F.col("raw") + F.col("selection_boost") + F.col("image_bonus") + F.col("template_bonus") - F.col("rejection_penalty") - F.col("mapping_penalty")
-    return out.select("ask_id", "catalog_idx", "base_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), exact)), 2).alias("score2"), "feedback_count", "reason")
+    return L.adjust(_candidates(asked, catalog), L.by_code(w), L.overall(w)).select("ask_id", "catalog_idx", "base_score", "score", "feedback_count", "reason")
 
 
 @query("asked", "feedback", "catalog")

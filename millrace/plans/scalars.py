@@ -141,13 +141,13 @@ def export_statuses(lines):
 @query("customer", sql="SELECT c_custkey, trim(regexp_replace(c_name || '/' || c_mktsegment || '?.', '[<>:\"/\\\\|?*]', '_', 'g'), ' ._') AS segment FROM {customer}")
 def filename_segments(customer):
     text = F.concat("c_name", F.lit("/"), "c_mktsegment", F.lit("?."))
-    return customer.select("c_custkey", F.btrim(F.regexp_replace(text, r'[<>:"/\\|?*]', "_"), F.lit(" ._")).alias("segment"))
+    return customer.select("c_custkey", D.filename_segment(text).alias("segment"))
 
 
 @query("embeddings", sql="SELECT vec_id, CASE WHEN isnan(x) OR isinf(x) THEN NULL ELSE x END AS clean FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'nan'::DOUBLE WHEN vec_id % 5 = 0 THEN 'inf'::DOUBLE ELSE CAST(label AS DOUBLE) END AS x FROM {embeddings})")
 def finite_or_null(embeddings):
     x = F.when(F.col("vec_id") % 3 == 0, float("nan")).when(F.col("vec_id") % 5 == 0, float("inf")).otherwise(F.col("label").cast("double"))
-    return embeddings.select("vec_id", F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x).alias("clean"))
+    return embeddings.select("vec_id", M.finite(x).alias("clean"))
 
 
 @query("events", sql="SELECT word, n_changes, last_expansion FROM (SELECT word, count(*) OVER (PARTITION BY word) AS n_changes, expansion AS last_expansion, deleted, row_number() OVER (PARTITION BY word ORDER BY t DESC, id DESC) AS r FROM (SELECT event_id AS id, ts AS t, 'w' || CAST(user_id % 60 AS VARCHAR) AS word, event_type AS expansion, event_type = 'error' AS deleted FROM {events})) WHERE r = 1 AND NOT deleted")
@@ -158,12 +158,12 @@ def synonym_state(events):
     return R.last_written(log).join(counts, "word").select("word", "n_changes", F.col("expansion").alias("last_expansion"))
 
 
-@query("part", sql="""WITH w AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS word FROM {part}), s AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS main, split_part(p_name, ' ', 2) AS synonym FROM {part} WHERE p_partkey % 4 = 1 AND p_partkey < 40),
+@query("part", sql="""WITH w AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS word FROM {part}), s AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS main, split_part(p_name, ' ', 2) AS synonym FROM {part} WHERE p_partkey % 4 = 1),
 g AS (SELECT DISTINCT main, main AS word FROM s UNION SELECT main, synonym FROM s) SELECT DISTINCT id, word FROM (SELECT id, word FROM w UNION ALL SELECT w.id, h.word FROM w JOIN g ON w.word = g.word JOIN g AS h ON h.main = g.main)""")
 def synonym_expansion(part):
     parts = F.split("p_name", " ")
     words = part.select(F.col("p_partkey").alias("id"), F.explode(parts).alias("word"))
-    groups = part.where("p_partkey % 4 = 1 and p_partkey < 40").select(F.get(parts, 0).alias("main"), F.get(parts, 1).alias("synonym")).distinct()
+    groups = part.where("p_partkey % 4 = 1").select(F.get(parts, 0).alias("main"), F.get(parts, 1).alias("synonym")).distinct()
     return R.expand(words, groups)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import rules as R
+from millrace.operators import matching as X
 from millrace.plans.bindings import VIEWS, bind, with_views
 from millrace.plans.query import ORACLES, QUERIES
 from millrace.streaming import feedback as S
@@ -48,12 +48,17 @@ def stream_live_views(spark, sf_dir):
 
 
 def stream_matched_lines(spark, sf_dir):
-    """New request rows looked up in the static catalogue by normalised name, batch by batch."""
+    """New request rows matched to the static catalogue, batch by batch, by the matcher of tables."""
     part = bind(spark, sf_dir, "part")
     asked = read_table(spark, sf_dir, "part", part.schema).select(F.col("p_partkey").alias("line_id"), F.concat(F.lit(" "), F.upper("p_name")).alias("raw_name"))
-    key = lambda c: F.lower(F.trim(R.normalize_name(c)))
-    named = bind(spark, sf_dir, "catalog").groupBy(key(F.lower("name")).alias("name")).agg(F.min("catalog_idx").alias("catalog_idx"))
-    turn = lambda batch: batch.select("line_id", key(F.lower("raw_name")).alias("name")).join(named, "name").select("line_id", "catalog_idx")
+    blank = F.lit("")
+    products = bind(spark, sf_dir, "catalog").select("catalog_idx", F.lower("name").alias("name"), blank.alias("model"), blank.alias("brand"))
+
+    def turn(batch: DataFrame) -> DataFrame:
+        lines = batch.select("line_id", F.lower(F.trim("raw_name")).alias("name"))
+        best = X.match(lines.select("name", blank.alias("spec"), blank.alias("brand")), products, most=1)
+        return lines.join(best.select("name", "catalog_idx"), "name").select("line_id", "catalog_idx")
+
     return batches_all(asked, "matched", "append", turn)
 
 
