@@ -68,16 +68,17 @@ def keep_first(docs: DataFrame, key: Column, named: DataFrame) -> DataFrame:
     key stands for a row's text; named (hash, component) has the keys that share a component with others. Of rows
     that repeat both doc_id and text one stays. Columns of docs may have any names.
     """
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    keyed = docs.select("doc_id", key.alias("hash"), F.xxhash64("text").alias("text_hash"))
+    # one text of 128 bits stands for doc_id and text: rows are joined and told apart by it in a single shuffle
+    told = F.md5(F.concat_ws("\x00", F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("")), F.coalesce(F.concat(F.lit("t"), F.col("text").cast("string")), F.lit(""))))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "told")).alias("best")
+    keyed = docs.select("doc_id", key.alias("hash"), F.xxhash64("text").alias("text_hash"), told.alias("told"))
     kept = (
         keyed.groupBy("hash").agg(best).join(named, "hash", "left")
         .groupBy(F.coalesce("component", "hash").alias("component")).agg(F.min("best").alias("best"))
-        .select(F.col("best.doc_id").alias("kept_id"), F.col("best.text_hash").alias("kept_hash"))
+        .select(F.col("best.told").alias("told"))
     )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.md5("text").alias("digest"), F.struct("*").alias("row"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash", "digest"]).select("row.*")
+    rows = docs.select(told.alias("told"), F.struct("*").alias("row"))
+    return rows.join(kept, "told", "left_semi").dropDuplicates(["told"]).select("row.*")
 
 
 def forget(df: DataFrame) -> None:

@@ -79,7 +79,9 @@ def _mask(bit):
 
 def links(fps: DataFrame, hot: int = 256) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints within two bits of each other."""
-    variants = _halves(fps).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(31)))).withColumn(
+    # a fingerprint becomes 64 rows: dealt out before that, however few tasks its bytes would make
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = _halves(fps.repartition(parts, "fp")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(31)))).withColumn(
         # bit 38: which half; bits 32 to 37: the wildcard's place; below: the half without it
         "key", F.expr("shiftleft(s, 38) + shiftleft(cast(p as long), 32)") + F.col("h").bitwiseAND(_mask("p"))
     )
@@ -95,7 +97,7 @@ def links(fps: DataFrame, hot: int = 256) -> DataFrame:
         .select("a", "b")
     )
     # every row becomes 528: dealt out before that, however few tasks its bytes would make
-    crowd = crowded.where(f"n > {hot}").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp", "key")
+    crowd = crowded.where(f"n > {hot}").repartition(parts, "fp", "key")
     # the halves differ at p: the other halves differ in one bit at most
     one = crowd.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(31)))).select("fp", "key", F.lit(-1).cast("long").alias("h"), "q", F.lit(-1).alias("r"), F.col("o").bitwiseAND(_mask("q")).alias("rest"))
     # the halves are equal: the other halves differ in two bits at most; one variant has all such pairs
