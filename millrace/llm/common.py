@@ -81,6 +81,11 @@ def keep_first(docs: DataFrame, key: Column, named: DataFrame) -> DataFrame:
     return rows.join(kept, "told", "left_semi").dropDuplicates(["told"]).select("row.*")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's heap is collected."""
+    spark._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table written by :func:`save` that nothing reads any more."""
     spark = df.sparkSession
