@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, keep_first, lookup, save
+from millrace.llm import shingle_groups
+from millrace.llm.common import components, keep_first, lookup, release, save
 
 #: Shingles unpacked at once, which bounds memory on very long texts.
 BLOCK = 1 << 16
@@ -122,9 +123,28 @@ def near_duplicates(docs: DataFrame, words: int = 3, hot: int = 256) -> DataFram
     return lookup(prints, named, "fp", "rows").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 3, hot: int = 256) -> DataFrame:
-    """One row of docs of each component: that with the least doc_id (nulls last), then the least text hash."""
-    # texts stand for rows here, since ids may be null or repeat
-    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    named = near_duplicates(texts, words, hot).select(F.col("doc_id").alias("hash"), F.col("component_id").alias("component")).distinct()
-    return keep_first(docs, F.xxhash64("text"), named)
+def likely(docs: DataFrame, words: int, hot: int = 256) -> DataFrame:
+    """Pairs (a, b) of different texts, by :func:`shingle_groups.node`, that connect all with fingerprints within two bits."""
+    texts = shingle_groups.once(docs).select(F.col("node").alias("doc_id"), "text")
+    prints = save(fingerprints(texts, words), "fingerprints")
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    same = lookup(prints, first, "fp", "rows").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    close = links(first.select("fp"), hot)
+    close = close.join(first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    found = save(same.union(close.select("x", "y")).where("a <> b"), "likely")
+    release(docs.sparkSession)
+    return found
+
+
+def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, hot: int = 256) -> DataFrame:
+    """One row of docs of each group: that with the least doc_id (nulls last), then the least text hash.
+
+    Groups are of texts linked by a Jaccard similarity of ``least`` or more on
+    their word shingles. Texts whose fingerprints are within two bits are
+    verified on their shingles and joined first; fingerprints of texts that
+    similar may be more bits apart, so the links that those leave out are added
+    by :func:`shingle_groups.links`, which loses none.
+    """
+    named = shingle_groups.groups(docs, words, least, likely=likely(docs, words, hot)).select(F.col("node").alias("hash"), "component")
+    release(docs.sparkSession)
+    return keep_first(docs, shingle_groups.node(), named)

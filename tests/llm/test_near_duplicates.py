@@ -5,7 +5,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from millrace.llm import shingle_groups
+from millrace.llm import shingle_groups, simhash
+from millrace.llm.common import keep_first
 
 DOCS = "doc_id long, text string, source string"
 
@@ -52,10 +53,19 @@ def corpus():
 
 
 @pytest.mark.parametrize("hot", [64, 3])
-def test_groups_equal_brute_force_however_crowded(spark, hot):
+@pytest.mark.parametrize("block", [256, 4])
+def test_groups_equal_brute_force_however_crowded(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(shingle_groups, "BLOCK", block)
     rows = corpus()
     docs = spark.createDataFrame(rows, DOCS)
-    kept = sorted(r.doc_id for r in shingle_groups.deduplicate(docs, hot=hot).collect())
+    named = shingle_groups.groups(docs, hot=hot)
+    kept = sorted(r.doc_id for r in keep_first(docs, shingle_groups.node(), named.withColumnRenamed("node", "hash")).collect())
+    assert kept == sorted(rows[first][0] for first, _ in brute_kept(rows))
+
+
+def test_fingerprints_and_the_rest_equal_brute_force(spark):
+    rows = corpus()
+    kept = sorted(r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect())
     assert kept == sorted(rows[first][0] for first, _ in brute_kept(rows))
 
 
