@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.chunks import ByteLevel, Pieces, flat, spread, stretches
+from millrace.llm.chunks import ByteLevel, Pieces, flat, slices, spread, stretches
 from millrace.llm.common import save
 
 #: An id pair is the first side's id in the high bits and the second's in this many low ones.
@@ -191,16 +191,6 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts with about so many bytes in all; a longer text is a run of its own."""
-    size = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
-        yield at, end - at
-        at = end
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, with_groups: bool, slice_bytes: int, block_links: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -231,7 +221,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, with_gr
 
     for batch in batches:
         texts = flat(batch.column(1)).fill_null("")
-        for at, n in _slices(texts, slice_bytes):
+        for at, n in slices(texts, slice_bytes):
             held.append((batch.column(0).slice(at, n), align_texts(texts.slice(at, n), a_path, b_path, with_groups)))
             if sum(len(x.pairs) for _, x in held) >= block_links:
                 yield from emit()

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -87,6 +88,16 @@ def words(texts: pa.Array) -> Stretches:
     return Stretches(coded.indices.to_numpy().astype(np.int64), starts - starts[0], coded.dictionary)
 
 
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about so many bytes in all; a longer text is a run of its own."""
+    size = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield at, end - at
+        at = end
+
+
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each slice, one after another."""
     out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)

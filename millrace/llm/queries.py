@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from millrace.llm import alignment, dual_tree, html_extract, langid, license_scan, line_dedup, mixing, packing, permutation_ann, pq_dedup, simhash, toxicity
+from millrace.llm import alignment, dual_tree, html_extract, langid, lexical_packing, license_scan, line_dedup, mixing, packing, permutation_ann, pq_dedup, simhash, toxicity
 from millrace.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_packing(spark, sf_dir):
+    return lexical_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op12_dual_tree_lloyd(spark, sf_dir):
     return dual_tree.compress(table(spark, sf_dir, "embeddings"))
 
@@ -64,5 +68,5 @@ def op13_token_alignment(spark, sf_dir):
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_permutation_ann, op3_packing, op4_langid, op5_simhash, op6_pq_dedup, op7_mixing, op8_html_extract, op9_line_dedup, op10_license_scan, op12_dual_tree_lloyd, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_permutation_ann, op3_packing, op4_langid, op5_simhash, op6_pq_dedup, op7_mixing, op8_html_extract, op9_line_dedup, op10_license_scan, op11_lexical_packing, op12_dual_tree_lloyd, op13_token_alignment)}
 ORACLES = {"op7_mixing": mixing.ORACLE_SQL, "op10_license_scan": license_scan.oracle_sql(), "op12_dual_tree_lloyd": dual_tree.oracle_sql()}
