@@ -255,7 +255,7 @@ def _answered(documents: pa.Table, answers: pa.Table) -> pa.Table:
     return kept.append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(count_sum, pa.int64()))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = True, slice_bytes: int = 1 << 23, block_links: int = 1 << 24) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = True, slice_bytes: int = 1 << 22, block_links: int = 1 << 24) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups, n_best, count_sum) of every row of docs.
 
     groups: ids of either side by group, `a1,a2|b1;a3|b2,b3`; without groups: its SHA-256 in hex ('' without tokens).
