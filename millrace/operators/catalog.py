@@ -5,25 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import rules as R
+from millrace.functions.html_text import unescape
 from millrace.functions.money import safe_float
+from millrace.operators.overlap import containing
+from millrace.streaming.runs import saved
 
 # Headers of an uploaded catalogue and the columns they become.
 HEADERS = {"* 商品编码": "code", "* 商品名称": "name", "* 型号": "model", "* 商品类别": "category", "* 单位": "unit", "* 市场价": "market_price", "商品品牌": "brand", "所属供应商": "supplier", "状态": "status", "商品介绍": "intro"}
 COST_HEADERS = ["成本价", "采购价", "进货价", "参考成本价", "* 成本价", "* 采购价", "* 进货价"]
 LABELS = [("code", "商品编码"), ("name", "商品名称"), ("model", "型号"), ("brand", "品牌"), ("category", "商品类别"), ("unit", "单位"), ("supplier", "所属供应商"), ("status", "状态"), ("market_price", "市场价"), ("cost_price", "成本价")]
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
-
-
-def unescape(text: Column) -> Column:
-    """The common character references of HTML, decoded natively."""
-    for name, by in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(by))
-    return text
 
 
 def plain(text: Column) -> Column:
     """Trimmed, references decoded, white space runs as one space; null is ''."""
-    return F.trim(F.regexp_replace(unescape(F.trim(F.coalesce(text.cast("string"), F.lit("")))), r"\s+", " "))
+    return F.trim(F.regexp_replace(unescape(F.trim(F.coalesce(text.cast("string"), F.lit("")))), r"(?U)\s+", " "))
 
 
 def strip_tags(html: Column) -> Column:
@@ -143,30 +139,46 @@ def facets(view: DataFrame) -> DataFrame:
     return view.select(F.explode(pairs).alias("x")).select("x.*").where("value <> ''").distinct()
 
 
+def search_terms(name: Column, spec: Column, remark: Column, keyword: Column | None = None) -> Column:
+    """What to search for on behalf of a request: the keyword (else the first of its fields that is not blank), its
+    normalised name and specification, and both as they are; each once. Empty if there is nothing."""
+    first = F.coalesce(*(F.nullif(plain(c), F.lit("")) for c in ((keyword, name, spec, remark) if keyword is not None else (name, spec, remark))), F.lit(""))
+    every = F.array(first, plain(R.normalize_name(name)), plain(R.normalize_spec(spec)), plain(name), plain(spec))
+    return F.when(first == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(every, lambda t: t != "")))
+
+
 def search_for_lines(view: DataFrame, asked: DataFrame, most: int = 20) -> DataFrame:
     """The best products for each request (ask_id, terms, unit) by where its terms occur; one per code.
 
     A term that is the name scores 120, within the name 70, the model 40, the
-    code 80, any text 15; an equal unit adds 10. Requests with equal terms and
-    unit are searched for once. Terms meet distinct search texts by a nested
-    loop over distinct terms. What has the unit alone scores 10, less than any
-    hit of a term, so of these only the first of each unit are looked at, twice
-    as many as are shown.
+    code 80, any text 15; an equal unit adds 10. Of a code's products that score
+    the first in catalogue order counts, whatever the others score. Requests with
+    equal terms and unit are searched for once; texts that hold a term are found
+    by the term's rarest pair of characters. A product that has the unit alone
+    scores 10, less than any with a term: the best of a unit, one per code, can be
+    no more than a page of them.
     """
+    view = saved(view.select("catalog_idx", "code", "name", "model", "unit", "has_image", "market_price", "search_text"), "view")
     kinds = asked.select("ask_id", F.array_sort(F.array_distinct(F.filter("terms", lambda t: t != ""))).alias("terms"), F.coalesce("unit", F.lit("")).alias("wanted")).withColumn("kind", F.xxhash64("terms", "wanted"))
     ways = kinds.select("kind", "terms", "wanted").distinct()
     terms = ways.select(F.explode("terms").alias("term")).distinct().withColumn("low", F.lower("term"))
     name, model, code = F.lower("name"), F.lower("model"), F.lower("code")
     own = F.when(name == F.col("low"), 120).when(name.contains(F.col("low")), 70).otherwise(0)
     score = own + F.when(model.contains(F.col("low")), 40).otherwise(0) + F.when(code.contains(F.col("low")), 80).otherwise(0) + 15
-    hits = view.join(terms, F.col("search_text").contains(F.col("low"))).select("term", "catalog_idx", F.col("unit").alias("u"), score.alias("score"))
-    bonus = F.when((F.col("wanted") != "") & (F.col("u") == F.col("wanted")), 10).otherwise(0)
-    by_terms = ways.select("kind", "wanted", F.explode("terms").alias("term")).join(hits, "term").groupBy("kind", "wanted", "catalog_idx", "u").agg(F.sum("score").alias("score")).select("kind", "catalog_idx", (F.col("score") + bonus).alias("score"))
-    best_first = [F.desc("has_image"), F.desc_nulls_last("market_price"), F.col("catalog_idx")]
-    of_unit = view.select(F.col("unit").alias("wanted"), "catalog_idx", "has_image", "market_price").where("wanted <> ''").withColumn("n", F.row_number().over(Window.partitionBy("wanted").orderBy(*best_first))).where(F.col("n") <= 2 * most)
-    by_unit = ways.select("kind", "wanted").join(of_unit, "wanted").select("kind", "catalog_idx").join(by_terms, ["kind", "catalog_idx"], "left_anti").select("kind", "catalog_idx", F.lit(10).cast("long").alias("score"))
-    full = by_terms.unionByName(by_unit).join(view.select("catalog_idx", F.col("code").alias("c"), "has_image", "market_price"), "catalog_idx")
-    one = Window.partitionBy("kind", "c").orderBy("catalog_idx")
-    best = Window.partitionBy("kind").orderBy(F.desc("score"), *best_first)
-    top = full.withColumn("n", F.row_number().over(one)).where("n = 1").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
-    return kinds.select("ask_id", "kind").join(top, "kind").select("ask_id", "rank", "catalog_idx", "score")
+    texts = containing(terms, "low", view, "search_text")
+    row = F.struct("catalog_idx", F.coalesce("code", F.lit("")).alias("c"), "has_image", "market_price", F.col("unit").alias("u"))
+    hits = view.join(texts, "search_text").join(terms, "low").select("term", row.alias("row"), score.alias("score"))
+    by_terms = ways.select("kind", "wanted", F.explode("terms").alias("term")).join(hits, "term").groupBy("kind", "wanted", "row").agg(F.sum("score").alias("score"))
+    firsts = by_terms.groupBy("kind", "wanted", F.col("row.c").alias("c")).agg(F.min_by(F.struct("row", "score"), "row.catalog_idx").alias("hit"))
+    of_unit = view.where("unit <> ''").groupBy(F.col("unit").alias("wanted"), F.coalesce("code", F.lit("")).alias("c")).agg(F.min_by(row, "catalog_idx").alias("first"))
+    # a code's product that has the unit alone and comes before those with a term stands for the code
+    both = firsts.join(of_unit, ["wanted", "c"], "left")
+    earlier = F.col("first.catalog_idx") < F.col("hit.row.catalog_idx")
+    bonus = F.when((F.col("wanted") != "") & (F.col("hit.row.u") == F.col("wanted")), 10).otherwise(0)
+    kept = both.select("kind", "c", F.when(earlier, F.col("first")).otherwise(F.col("hit.row")).alias("row"), F.when(earlier, F.lit(10)).otherwise(F.col("hit.score") + bonus).cast("long").alias("score"))
+    in_unit = [F.desc("first.has_image"), F.desc_nulls_last("first.market_price"), F.col("first.catalog_idx")]
+    page = of_unit.withColumn("n", F.row_number().over(Window.partitionBy("wanted").orderBy(*in_unit))).where(F.col("n") <= most)
+    by_unit = ways.select("kind", "wanted").join(page, "wanted").select("kind", "c", F.col("first").alias("row"), F.lit(10).cast("long").alias("score")).join(kept.select("kind", "c"), ["kind", "c"], "left_anti")
+    best = Window.partitionBy("kind").orderBy(F.desc("score"), F.desc("row.has_image"), F.desc_nulls_last("row.market_price"), "row.catalog_idx")
+    top = kept.unionByName(by_unit).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    return kinds.select("ask_id", "kind").join(top, "kind").select("ask_id", "rank", F.col("row.catalog_idx").alias("catalog_idx"), "score")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.matching import with_ratio
+from millrace.operators.matching import sequence_ratio, with_ratio
 
 #: Columns a log may lack, with the values that stand for them.
 DEFAULTS = {"source_type": "''", "template_name": "''", "template_hit": "false", "ocr_confidence": "0D", "feedback_weight": "1D", "mapping_signature": "''", "mapping_changed": "false"}
@@ -78,11 +78,11 @@ def by_signature(log: DataFrame, most: int = 50) -> DataFrame:
     )
 
 
-def weighted(found: DataFrame, asked: DataFrame) -> DataFrame:
+def weighted(found: DataFrame, asked: DataFrame, ratio=sequence_ratio) -> DataFrame:
     """Rows found by :func:`lookup` with what each weighs: by the ratio of the request's normal form to the row's, and whether both are mapped alike."""
     text = lambda: F.concat_ws(" ", *(F.when(F.trim(c) != "", F.trim(c)) for c in ("normalized_name", "normalized_spec", "normalized_unit")))
     own = asked.select("ask_id", text().alias("own_text"), F.col("mapping_signature").alias("own_mapping"))
-    both = with_ratio(found.join(own, "ask_id").withColumn("row_text", text()), "own_text", "row_text")
+    both = with_ratio(found.join(own, "ask_id").withColumn("row_text", text()), "own_text", "row_text", ratio)
     alike = (F.col("mapping_signature") != "") & (F.col("mapping_signature") == F.col("own_mapping"))
     return both.withColumn("weight", weight_of(F.col("ratio"), F.coalesce(alike, F.lit(False)), F.col("feedback_weight").cast("double"))).drop("own_text", "own_mapping", "row_text", "ratio")
 

@@ -9,10 +9,13 @@ Which pairs are scored: a pair reaches the least score only if it shares a
 word, a type, a brand or a standard (the keys pairs are found by), or if its
 texts are alike by themselves, which gives 0.3 at most. So pairs by key come
 first, and only requests whose ``most``-th best of these is not above 0.3 are
-compared with other products, by blocks of texts of like length and by a bound
-on their common characters. In both steps the ratio, the costly signal, is
-computed only where the best it could be would reach the first ``most``.
-The result is that of scoring all pairs.
+looked up in inverted lists of characters (:mod:`millrace.operators.overlap`).
+In both steps the ratio, the costly signal, is computed only where the best it
+could be would reach the first ``most``. The result is that of scoring all pairs.
+
+Any function of two text columns can stand for the ratio, as long as it is at
+most twice their common characters by both lengths; :func:`edit_ratio` is one
+that needs no Python.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from millrace.functions import rules as R
-from millrace.operators.catalog import unescape
+from millrace.functions.html_text import unescape
+from millrace.operators.overlap import by_ratio, by_words, containing, most_ratio, outline
 from millrace.streaming.runs import saved
 
 LEAST = 0.15
@@ -52,35 +56,16 @@ def similarity(ratio: Column, a: Column, b: Column, ka: Column, kb: Column) -> C
     return F.when((a == "") | (b == ""), 0.0).when((F.size(ka) == 0) | (F.size(kb) == 0), ratio * 0.5).otherwise(full)
 
 
-def with_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with the sequence ratio of two text columns, computed once per distinct pair of texts."""
-    texts = pairs.select(a, b).distinct().withColumn("ratio", sequence_ratio(F.col(a), F.col(b)))
+def with_ratio(pairs: DataFrame, a: str, b: str, ratio=sequence_ratio) -> DataFrame:
+    """pairs with the ratio of two text columns, computed once per distinct pair of texts."""
+    texts = pairs.select(a, b).distinct().withColumn("ratio", ratio(F.col(a), F.col(b)))
     return pairs.join(texts, [a, b])
 
 
-#: Kinds of characters told apart in an outline, and how many of a kind it holds.
-KINDS, HELD = 20, 6
-
-
-def outline(text: Column) -> Column:
-    """A text's characters as bits: up to six of each of twenty kinds in two numbers, and how many more it has.
-
-    Common bits of two texts, and the lesser of their rests, bound the characters they have in common: characters of
-    one kind count as alike, so the bound is never too low.
-    """
-    kinds = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.pmod(F.xxhash64(c), F.lit(KINDS)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(KINDS - 1)), lambda k: F.size(F.filter(kinds, lambda x: x == k)))
-    unary = lambda n: F.pow(F.lit(2.0), F.least(n, F.lit(HELD))).cast("long") - 1
-    half = lambda lo: F.aggregate(F.slice(counts, lo + 1, KINDS // 2), F.lit(0).cast("long"), lambda acc, n: acc * (1 << HELD) + unary(n))
-    rest = F.aggregate(counts, F.lit(0), lambda acc, n: acc + F.greatest(n - HELD, F.lit(0)))
-    return F.struct(half(0).alias("a"), half(KINDS // 2).alias("b"), rest.alias("rest"), F.length(text).alias("n"))
-
-
-def _most_ratio(q: str, p: str) -> Column:
-    """The highest ratio that two texts with these outlines can have."""
-    common = F.bit_count(F.col(f"{q}.a").bitwiseAND(F.col(f"{p}.a"))) + F.bit_count(F.col(f"{q}.b").bitwiseAND(F.col(f"{p}.b"))) + F.least(F.col(f"{q}.rest"), F.col(f"{p}.rest"))
-    both = F.col(f"{q}.n") + F.col(f"{p}.n")
-    return F.least(F.lit(1.0), 2 * F.least(common, F.col(f"{q}.n"), F.col(f"{p}.n")) / both)
+def edit_ratio(a: Column, b: Column) -> Column:
+    """The share of the longer text that edits leave alone."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
 def prepare_requests(requests: DataFrame, synonyms: DataFrame | None = None, tokenise=R.keywords) -> DataFrame:
@@ -138,29 +123,10 @@ def candidate_pairs(asks: DataFrame, prods: DataFrame) -> DataFrame:
 
 
 def alike_pairs(asks: DataFrame, prods: DataFrame) -> DataFrame:
-    """(ask, prod): pairs whose texts contain one another or could have a ratio of a half.
-
-    Distinct texts meet by blocks: a text is in the block of its length (powers of three), products in those beside it
-    too, so that no two texts of which one is at most three times as long as the other are missed; texts that contain
-    one another at any length share the rarest of the shorter one's pairs of characters. Blocks are split in slices.
-    """
-    slices = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(3.0)) + 1e-9).cast("int")
-    q = asks.where("q_text <> ''").select("q_text", "q_line").distinct()
-    p = prods.where("p_text <> ''").select("p_text", "p_line").distinct()
-    near_q = q.withColumn("slice", F.pmod(F.xxhash64("q_text"), F.lit(slices)).cast("int")).withColumn("block", block("q_text"))
-    near_p = p.withColumn("block", F.explode(F.array(*(block("p_text") + k for k in (-1, 0, 1))))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    near = near_q.join(near_p, ["block", "slice"]).where(_most_ratio("q_line", "p_line") >= 0.5).select("q_text", "p_text")
-    pairs = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))
-    singles = lambda c: F.array_distinct(F.concat(pairs(c), F.filter(F.split(c, ""), lambda x: x != "")))
-
-    def inside(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
-        held = long.select(t, F.explode(singles(F.col(t))).alias("pair"))
-        times = held.groupBy("pair").agg(F.count(F.lit(1)).alias("times"))
-        rarest = short.select(s, F.explode(pairs(F.col(s))).alias("pair")).join(times, "pair", "left").groupBy(s).agg(F.min_by("pair", F.struct(F.coalesce("times", F.lit(0)), "pair")).alias("pair"))
-        return rarest.join(held, "pair").where(F.col(t).contains(F.col(s))).select("q_text", "p_text")
-
-    found = near.union(inside(q, "q_text", p, "p_text")).union(inside(p, "p_text", q, "q_text")).distinct()
+    """(ask, prod): pairs whose texts contain one another or could have a ratio of a half."""
+    q, p = asks.select("q_text").where("q_text <> ''").distinct(), prods.select("p_text").where("p_text <> ''").distinct()
+    within = containing(q, "q_text", p, "p_text").union(containing(p, "p_text", q, "q_text").select("q_text", "p_text"))
+    found = by_ratio(q, "q_text", p, "p_text", 0.5).union(within).distinct()
     return asks.select("ask", "q_text").join(found, "q_text").join(prods.select("prod", "p_text"), "p_text").select("ask", "prod")
 
 
@@ -168,7 +134,7 @@ def _rounded_up(score: Column) -> Column:
     return score + 0.0005 + 1e-9
 
 
-def score_pairs(pairs: DataFrame, asks: DataFrame, prods: DataFrame, least: float = LEAST, most: int | None = None, beaten: DataFrame | None = None) -> DataFrame:
+def score_pairs(pairs: DataFrame, asks: DataFrame, prods: DataFrame, least: float = LEAST, most: int | None = None, beaten: DataFrame | None = None, ratio=sequence_ratio) -> DataFrame:
     """(ask, prod, score and its parts) of the pairs that reach the least score.
 
     With most, pairs that cannot be among the first most products of their request are left out before the ratio is
@@ -185,34 +151,38 @@ def score_pairs(pairs: DataFrame, asks: DataFrame, prods: DataFrame, least: floa
     # in this order: sums of doubles
     final = lambda c: c * 0.30 + F.col("type_match") * 0.20 + F.col("keyword_overlap") * 0.20 + F.col("spec_match") * 0.10 + F.col("brand_match") * 0.20
     if most is not None:
-        full = full.withColumn("at_most", final(like(_most_ratio("q_line", "p_line")))).where(_rounded_up(F.col("at_most")) >= least)
+        # read twice: for the bars and for the pairs
+        full = saved(full, "signals")
+        full = full.withColumn("at_most", final(like(most_ratio("q_line", "p_line")))).where(_rounded_up(F.col("at_most")) >= least)
         full = full.withColumn("at_least", final(like(F.lit(0.0))))
         ranked = full.select("ask", "at_least").withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("at_least"))))
         bars = ranked.where(F.col("n") == most).select("ask", F.col("at_least").alias("bar"))
         bars = bars.union(beaten.select("ask", "bar")).groupBy("ask").agg(F.max("bar").alias("bar")) if beaten is not None else bars
         full = full.join(bars, "ask", "left").where(F.col("bar").isNull() | (_rounded_up(F.col("at_most")) >= F.col("bar") - 0.0005)).drop("bar", "at_most", "at_least")
-    full = with_ratio(full, "q_text", "p_text")
+    full = with_ratio(full, "q_text", "p_text", ratio)
     parts = full.withColumn("similarity", like(F.col("ratio"))).withColumn("final", final(F.col("similarity")))
     rounded = [F.round(c, 3).alias(c) for c in ("similarity", "type_match", "keyword_overlap", "spec_match", "brand_match")]
     return parts.where(F.col("final") >= least).select("ask", "prod", "name", "spec", "brand", "p_name", "p_model", "p_brand", F.round("final", 3).alias("score"), F.when(F.col("final") >= 0.7, "exact").otherwise("fuzzy").alias("match_type"), (F.col("brand_match") > 0.5).alias("brand_matched"), *rounded)
 
 
-def match(requests: DataFrame, products: DataFrame, synonyms: DataFrame | None = None, most: int = 20, all_pairs: bool = False, tokenise=R.keywords) -> DataFrame:
+def match(requests: DataFrame, products: DataFrame, synonyms: DataFrame | None = None, most: int = 20, all_pairs: bool = False, tokenise=R.keywords, prepared: DataFrame | None = None, ratio=sequence_ratio) -> DataFrame:
     """The best products for each distinct request: ask, rank, catalog_idx, score and its parts. Ties in catalogue order.
 
-    all_pairs scores every pair of distinct texts, for tests of the blocking.
+    all_pairs scores every pair of distinct texts, for tests of the blocking. prepared: what :func:`prepare_products`
+    made of products, kept from an earlier run.
     """
-    asks, prods = saved(prepare_requests(requests, synonyms, tokenise), "asks"), saved(prepare_products(products, tokenise), "products")
+    asks = saved(prepare_requests(requests, synonyms, tokenise), "asks")
+    prods = prepared if prepared is not None else saved(prepare_products(products, tokenise), "products")
     if all_pairs:
-        scored = score_pairs(asks.select("ask").crossJoin(prods.select("prod")), asks, prods)
+        scored = score_pairs(asks.select("ask").crossJoin(prods.select("prod")), asks, prods, ratio=ratio)
     else:
         by_key = saved(candidate_pairs(asks, prods), "pairs")
-        scored = saved(score_pairs(by_key, asks, prods, most=most), "scored")
+        scored = saved(score_pairs(by_key, asks, prods, most=most, ratio=ratio), "scored")
         # texts that share no key give 0.3 at most
         bars = scored.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score")))).where(F.col("n") == most).select("ask", F.col("score").alias("bar"))
         open_ = asks.join(bars.where("bar > 0.3005"), "ask", "left_anti")
         rest = alike_pairs(open_, prods).join(by_key, ["ask", "prod"], "left_anti")
-        scored = scored.union(score_pairs(rest, asks, prods, most=most, beaten=bars))
+        scored = scored.union(score_pairs(rest, asks, prods, most=most, beaten=bars, ratio=ratio))
     rows = products.select("catalog_idx", F.col("name").alias("p_name"), F.coalesce("model", F.lit("")).alias("p_model"), F.coalesce("brand", F.lit("")).alias("p_brand"))
     # a text's products beyond the first ``most`` cannot rank
     first = Window.partitionBy("p_name", "p_model", "p_brand").orderBy("catalog_idx")
@@ -221,22 +191,29 @@ def match(requests: DataFrame, products: DataFrame, synonyms: DataFrame | None =
     return scored.join(rows, ["p_name", "p_model", "p_brand"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("p_name", "p_model", "p_brand", "prod")
 
 
-def keyword_search(words: DataFrame, products: DataFrame, most: int = 50) -> DataFrame:
-    """(keyword, rank, catalog_idx, score): 1.0 where the name contains the keyword, else a similarity of 0.3 or more."""
-    names = products.select("name").where("name <> ''").distinct().withColumn("pl", outline(F.col("name")))
-    asked = words.select("keyword").where("keyword <> ''").distinct().withColumn("ql", outline(F.col("keyword")))
-    # distinct names are dealt to slices, and every slice gets the distinct keywords
-    slices = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = names.withColumn("slice", F.pmod(F.xxhash64("name"), F.lit(slices)).cast("int"))
-    pairs = names.join(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), "slice")
-    inside = F.lower("name").contains(F.lower("keyword"))
-    # keywords with a page of names that contain them need no more
-    full = pairs.where(inside).groupBy("keyword", "name").agg(F.lit(1)).join(products.select("name", "catalog_idx"), "name").groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
-    open_ = pairs.where(~inside).where(similarity(_most_ratio("ql", "pl"), F.col("keyword"), F.col("name"), R.keywords(F.col("keyword")), R.keywords(F.col("name"))) >= 0.3).join(full, "keyword", "left_anti")
-    rest = with_ratio(open_.select("keyword", "name"), "keyword", "name").withColumn("score", similarity(F.col("ratio"), F.col("keyword"), F.col("name"), R.keywords(F.col("keyword")), R.keywords(F.col("name"))))
-    found = pairs.where(inside).select("keyword", "name", F.lit(1.0).alias("score")).union(rest.where("score >= 0.3").select("keyword", "name", "score"))
-    order = Window.partitionBy("keyword").orderBy(F.desc("score"), "catalog_idx")
-    return found.join(products.select("catalog_idx", "name"), "name").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("keyword", "rank", "catalog_idx", F.round("score", 6).alias("score"))
+def keyword_search(words: DataFrame, products: DataFrame, most: int = 50, ratio=sequence_ratio) -> DataFrame:
+    """(keyword, rank, catalog_idx, score): 1.0 where the name contains the keyword in any case, else a similarity of 0.3 or more.
+
+    A similarity of 0.3 takes a ratio or a share of common words of 0.3, or a keyword that contains the name: each is
+    looked up in inverted lists. Names that contain the keyword come before others of score 1; keywords that enough
+    names contain are looked up no further.
+    """
+    names = products.select("name").where("name <> ''").distinct()
+    asked = words.select("keyword").where("keyword <> ''").distinct()
+    low_names, low_asked = names.withColumn("low_name", F.lower("name")), asked.withColumn("low", F.lower("keyword"))
+    hits = saved(containing(low_asked, "low", low_names, "low_name").join(low_asked, "low").join(low_names, "low_name").select("keyword", "name"), "hits")
+    rows = products.select("catalog_idx", "name")
+    full = hits.join(rows, "name").groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+    open_ = saved(asked.join(full, "keyword", "left_anti"), "open")
+    near = by_ratio(open_, "keyword", names, "name", 0.3).union(by_words(open_, "keyword", names, "name", R.keywords, 0.3)).union(containing(names, "name", open_, "keyword").select("keyword", "name"))
+    near = near.distinct().join(hits, ["keyword", "name"], "left_anti")
+    k, n = F.col("keyword"), F.col("name")
+    lined = near.withColumns({"ql": outline(k), "pl": outline(n), "kw": R.keywords(k), "nw": R.keywords(n)})
+    like = lambda r: similarity(r, k, n, F.col("kw"), F.col("nw"))
+    rest = with_ratio(lined.where(like(most_ratio("ql", "pl")) >= 0.3 - 1e-9).drop("ql", "pl"), "keyword", "name", ratio).withColumn("score", like(F.col("ratio")))
+    found = hits.select("keyword", "name", F.lit(1.0).alias("score"), F.lit(0).alias("later")).union(rest.where("score >= 0.3").select("keyword", "name", "score", F.lit(1)))
+    order = Window.partitionBy("keyword").orderBy(F.desc("score"), "later", "catalog_idx")
+    return found.join(rows, "name").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("keyword", "rank", "catalog_idx", F.round("score", 6).alias("score"))
 
 
 def alternatives(requests: DataFrame, products: DataFrame, limit: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import catalog as C
 from millrace.plans.query import query
+from millrace.plans.scalars import NORMAL
 
 FLAGS = "cost_price IS NOT NULL AND cost_price <> 0 AS has_cost_price, cost_price IS NULL AS cost_price_missing, coalesce(cost_price = 0, false) AS cost_price_ambiguous"
 VIEW = f"""SELECT catalog_idx, code, name, model, category, unit, brand, supplier, status, name || ' & ' || category AS intro_text, market_price, cost_price, {FLAGS},
@@ -109,3 +110,10 @@ def search_for_lines(catalog, orders):
         F.col("o_orderkey").alias("ask_id"), F.array(F.lit("ring"), F.lit("small ring"), F.concat(F.lit("M"), (F.col("o_custkey") % 50).cast("string"))).alias("terms"), F.concat(F.lit("u"), (F.col("o_custkey") % 3).cast("string")).alias("unit")
     )
     return C.search_for_lines(C.view(catalog), asked)
+
+
+@query("requests", sql="""WITH t AS (SELECT quote_id, item_index, [trim(regexp_replace(CASE WHEN trim(raw_name) <> '' THEN trim(raw_name) WHEN trim(raw_spec) <> '' THEN trim(raw_spec) ELSE trim(coalesce(remark, '')) END, '\\s+', ' ', 'g')), trim(regexp_replace(n, '\\s+', ' ', 'g')), trim(regexp_replace(s, '\\s+', ' ', 'g')), trim(regexp_replace(trim(raw_name), '\\s+', ' ', 'g')), trim(regexp_replace(trim(raw_spec), '\\s+', ' ', 'g'))] AS every
+FROM (""" + NORMAL + """))
+SELECT quote_id, item_index, CASE WHEN every[1] = '' THEN [] ELSE list_filter(every, lambda x, i: x <> '' AND list_position(every, x) = i) END AS terms FROM t""")
+def line_search_terms(requests):
+    return requests.select("quote_id", "item_index", C.search_terms(F.col("raw_name"), F.col("raw_spec"), F.col("remark")).alias("terms"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import feedback as L
+from millrace.operators.matching import edit_ratio
 from millrace.plans.query import half_up, query
 
 ASKED = "SELECT md5(query_signature || '/' || normalized_name || '/' || normalized_spec || '/' || normalized_unit || '/' || mapping_signature) AS ask_id, * FROM {asked}"
@@ -96,3 +97,14 @@ def reranked_candidates(asked, feedback, catalog):
     w = _weighted(asked, feedback)
     out = L.rerank(L.adjust(_candidates(asked, catalog), L.by_code(w), L.overall(w)))
     return out.select("ask_id", "place", "catalog_idx", "score", L.auto_select(F.col("score"), F.col("feedback_count")).alias("auto_action"), L.hint(F.col("feedback_count"), F.col("template_hit_count"), F.col("mapping_changed_count")).alias("hint"))
+
+
+_text = lambda x: f"{x}.normalized_name || ' ' || {x}.normalized_spec || ' ' || {x}.normalized_unit"
+
+
+@query("asked", "feedback", sql=f"""WITH {FOUND}, l AS (SELECT a.ask_id, f.id, f.feedback_weight::DOUBLE AS stored, f.mapping_signature = a.mapping_signature AS alike, 1 - levenshtein({_text('a')}, {_text('f')})::DOUBLE / greatest(length({_text('a')}), length({_text('f')})) AS s FROM found f JOIN a ON a.ask_id = f.ask_id)
+SELECT ask_id, id, (CASE WHEN s >= 0.985 THEN 1.0::DOUBLE WHEN s >= 0.94 THEN 0.8::DOUBLE WHEN s >= 0.85 THEN 0.5::DOUBLE ELSE 0::DOUBLE END + CASE WHEN alike THEN 0.25::DOUBLE ELSE 0::DOUBLE END) * stored AS weight FROM l""")
+def feedback_alike(asked, feedback):
+    """What every row found weighs by how alike its normal form is to the request's, as edits tell."""
+    a = _asked(asked)
+    return L.weighted(L.lookup(a, feedback), a, edit_ratio).select("ask_id", "id", "weight")

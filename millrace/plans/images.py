@@ -9,7 +9,7 @@ from millrace.plans.query import query
 
 BASE, FILES = "https://shop.example", "https://files.example"
 _q = lambda x: "'" + x.replace("'", "''") + "'"
-FOLD = lambda x: f"regexp_replace(lower(coalesce({x}, '')), {_q(I.PUNCTUATION)}, '', 'g')"
+FOLD = lambda x: f"regexp_replace(lower(coalesce({x}, '')), {_q(I.SKIPPED)}, '', 'g')"
 TOKENS = "list_filter(list_distinct(" + "list_concat({})".format(", ".join(f"[{FOLD(c)}], list_filter(list_transform(regexp_extract_all({c}, '[A-Za-z0-9]+|[一-鿿]{{2,}}'), lambda t: {FOLD('t')}), lambda t: length(t) >= 2)" for c in ("code", "name", "model"))) + "), lambda t: t <> '')"
 
 
@@ -59,3 +59,15 @@ def page_blocks(catalog):
     listed = F.transform(F.array_sort(F.collect_list(F.struct("catalog_idx", "block"))), lambda x: x["block"])
     pages = shown.groupBy("key").agg(F.concat(F.lit("<html>"), F.array_join(listed, ""), F.lit('<script type="text/javascript">x</script></html>')).alias("html"))
     return I.resolve(catalog.select("catalog_idx", F.concat("brand", "name").alias("key"), "code", "name", "model"), pages)
+
+
+# pages without blocks: a first picture too far before the product, one near it; some show only the model, some nothing
+WINDOW = """'<html><img src="/ProductImg/far.jpg">' || repeat('x', 4500) || CASE catalog_idx % 3 WHEN 0 THEN name WHEN 1 THEN model ELSE '' END || repeat('y', 700) || '<img src="/ProductImg/' || code || '.jpg" id="productinfo_' || code || '">' || repeat('z', 9000) || '<b>productinfo_7</b></html>'"""
+
+
+@query("catalog", sql="SELECT catalog_idx, -1 AS block_no, 0 AS score, '/ProductImg/' || code || '.jpg' AS image, code AS product_id FROM {catalog} WHERE catalog_idx % 3 < 2")
+def page_windows(catalog):
+    """Products on pages without blocks, found by what stands around their first mention."""
+    pages = catalog.select("catalog_idx", F.expr(WINDOW).alias("html"), F.concat(F.lit("k"), "code").alias("key"))
+    asked = catalog.select("catalog_idx", F.concat(F.lit("k"), "code").alias("key"), F.lit("no such code").alias("code"), "name", "model")
+    return I.resolve(asked, pages.select("key", "html")).drop("key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import money as M
@@ -162,3 +163,13 @@ def quote_delete(quotes, customer):
     """The quotes of customers in debt are deleted."""
     gone = quotes.join(customer.where("c_acctbal < 0").select(F.col("c_name").alias("customer_name")), "customer_name")
     return D.without_quotes(quotes.select("quote_id", "customer_name"), gone)
+
+
+@query("lines", "catalog", sql="""WITH r AS (SELECT quote_id, item_index, c.code, c.name || ' [' || c.code || '] ¥' || printf('%.2f', c.market_price) AS shown, row_number() OVER (PARTITION BY quote_id, item_index ORDER BY c.catalog_idx) AS rank FROM {lines} AS l JOIN {catalog} AS c ON c.model = l.spec AND c.unit = l.unit)
+SELECT quote_id, item_index, CAST(rank AS INT) AS rank, code, shown FROM r WHERE rank <= 20""")
+def candidate_sheet(lines, catalog):
+    """The products of each line's model and unit, twenty at most, as its candidates are shown."""
+    c = catalog.select(F.col("model").alias("spec"), "unit", "code", F.col("name"), "market_price", "catalog_idx")
+    place = Window.partitionBy("quote_id", "item_index").orderBy("catalog_idx")
+    ranked = lines.select("quote_id", "item_index", "spec", "unit").join(c, ["spec", "unit"]).withColumn("rank", F.row_number().over(place))
+    return D.candidate_rows(ranked)

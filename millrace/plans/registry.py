@@ -6,7 +6,7 @@ import importlib
 
 from millrace.plans.query import ORACLES, QUERIES
 
-for _name in ("pricing", "catalog", "scalars", "feedback", "matching", "workbench", "templates", "sheets", "scans", "images", "streams"):
+for _name in ("pricing", "catalog", "scalars", "feedback", "matching", "workbench", "templates", "sheets", "scans", "images", "streams", "stored"):
     importlib.import_module(f"millrace.plans.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -63,8 +63,12 @@ def signatures(requests):
     return _normal(requests).select("quote_id", "item_index", R.query_signature(*cols).alias("query_signature"), R.mapping_signature(F.lit("excel"), *cols, F.col("remark")).alias("mapping_signature"))
 
 
+# the references that the tables' pages hold, the one for & last
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+
+
 def _unescape_sql(x: str) -> str:
-    for name, by in C.ENTITIES:
+    for name, by in ENTITIES:
         x = f"replace({x}, {_q(name)}, {_q(by)})"
     return x
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import matching as X
+from millrace.operators.rematching import Prepared
 from millrace.plans.bindings import VIEWS, bind, with_views
 from millrace.plans.query import ORACLES, QUERIES
 from millrace.streaming import feedback as S
@@ -54,9 +54,11 @@ def stream_matched_lines(spark, sf_dir):
     blank = F.lit("")
     products = bind(spark, sf_dir, "catalog").select("catalog_idx", F.lower("name").alias("name"), blank.alias("model"), blank.alias("brand"))
 
+    prepared = Prepared(products)
+
     def turn(batch: DataFrame) -> DataFrame:
         lines = batch.select("line_id", F.lower(F.trim("raw_name")).alias("name"))
-        best = X.match(lines.select("name", blank.alias("spec"), blank.alias("brand")), products, most=1)
+        best = prepared.match(lines.select("name", blank.alias("spec"), blank.alias("brand")), most=1)
         return lines.join(best.select("name", "catalog_idx"), "name").select("line_id", "catalog_idx")
 
     return batches_all(asked, "matched", "append", turn)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -41,7 +42,7 @@ def append_all(stream: DataFrame, name: str) -> DataFrame:
 
 
 def batches_all(stream: DataFrame, name: str, mode: str, turn: Callable[[DataFrame], DataFrame] = lambda b: b) -> DataFrame:
-    """Run a stream by batches, each turned into a table of its own; in complete mode only the last one counts.
+    """Run a stream by batches, each turned into a table of its own; in complete mode only the last one counts, in update mode rows have their batch.
 
     A batch that is run again overwrites its own table, so that retries don't double rows.
     """
@@ -50,6 +51,7 @@ def batches_all(stream: DataFrame, name: str, mode: str, turn: Callable[[DataFra
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = turn(batch)
+        out = out.withColumn("batch", F.lit(batch_id)) if mode == "update" else out
         out.write.mode("overwrite").parquet(f"{home}/rows/batch={batch_id}")
         last[:] = [batch_id, out.schema]
 
