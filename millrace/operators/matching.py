@@ -140,29 +140,34 @@ def score_pairs(pairs: DataFrame, asks: DataFrame, prods: DataFrame, least: floa
     With most, pairs that cannot be among the first most products of their request are left out before the ratio is
     computed; beaten (ask, bar) is a score that others have reached already.
     """
-    full = pairs.join(asks, "ask").join(prods, "prod")
     share = lambda words: F.size(F.array_intersect(words, "p_words")) / F.greatest(F.size(words), F.lit(1))
     spec = F.when(F.col("spec") != "", F.when(F.arrays_overlap("q_gbs", "p_gbs"), 0.3).otherwise(0.0) + share("spec_words") * 0.2).otherwise(0.0)
-    full = full.withColumns({
+    q, p = F.col("q_text"), F.col("p_text")
+    # what pairs are told apart by from here on: a few numbers, not the words they come from
+    signals = {
         "type_match": F.when(F.arrays_overlap("q_types", "p_types"), 0.9).otherwise(0.0), "keyword_overlap": share("q_wide"), "spec_match": spec,
-        "brand_match": R.brand_score(F.col("wanted"), F.col("p_brand"), F.col("p_name")),
-    })
-    like = lambda ratio: similarity(ratio, F.col("q_text"), F.col("p_text"), F.col("q_words"), F.col("p_words"))
+        "brand_match": R.brand_score(F.col("wanted"), F.col("p_brand"), F.col("p_name")), "j": R.jaccard(F.col("q_words"), F.col("p_words")), "c": F.when(q.contains(p) | p.contains(q), 0.8).otherwise(0.0),
+        "wordless": (F.size("q_words") == 0) | (F.size("p_words") == 0), "top": most_ratio("q_line", "p_line"),
+    }
+    full = pairs.join(asks, "ask").join(prods, "prod").select("ask", "prod", "q_text", "p_text", *(x.alias(n) for n, x in signals.items()))
+    j, c = F.col("j"), F.col("c")
+    whole = lambda r: F.least(F.lit(1.0), F.greatest(r * 0.3 + j * 0.5 + c * 0.2, r, j, c))
+    like = lambda r: F.when((q == "") | (p == ""), 0.0).when(F.col("wordless"), r * 0.5).otherwise(whole(r))
     # in this order: sums of doubles
-    final = lambda c: c * 0.30 + F.col("type_match") * 0.20 + F.col("keyword_overlap") * 0.20 + F.col("spec_match") * 0.10 + F.col("brand_match") * 0.20
+    final = lambda x: x * 0.30 + F.col("type_match") * 0.20 + F.col("keyword_overlap") * 0.20 + F.col("spec_match") * 0.10 + F.col("brand_match") * 0.20
     if most is not None:
         # read twice: for the bars and for the pairs
-        full = saved(full, "signals")
-        full = full.withColumn("at_most", final(like(most_ratio("q_line", "p_line")))).where(_rounded_up(F.col("at_most")) >= least)
-        full = full.withColumn("at_least", final(like(F.lit(0.0))))
+        full = saved(full.withColumn("at_most", final(like(F.col("top")))).where(_rounded_up(F.col("at_most")) >= least).withColumn("at_least", final(like(F.lit(0.0)))), "signals")
         ranked = full.select("ask", "at_least").withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("at_least"))))
         bars = ranked.where(F.col("n") == most).select("ask", F.col("at_least").alias("bar"))
         bars = bars.union(beaten.select("ask", "bar")).groupBy("ask").agg(F.max("bar").alias("bar")) if beaten is not None else bars
-        full = full.join(bars, "ask", "left").where(F.col("bar").isNull() | (_rounded_up(F.col("at_most")) >= F.col("bar") - 0.0005)).drop("bar", "at_most", "at_least")
+        full = full.join(bars, "ask", "left").where(F.col("bar").isNull() | (_rounded_up(F.col("at_most")) >= F.col("bar") - 0.0005))
     full = with_ratio(full, "q_text", "p_text", ratio)
-    parts = full.withColumn("similarity", like(F.col("ratio"))).withColumn("final", final(F.col("similarity")))
-    rounded = [F.round(c, 3).alias(c) for c in ("similarity", "type_match", "keyword_overlap", "spec_match", "brand_match")]
-    return parts.where(F.col("final") >= least).select("ask", "prod", "name", "spec", "brand", "p_name", "p_model", "p_brand", F.round("final", 3).alias("score"), F.when(F.col("final") >= 0.7, "exact").otherwise("fuzzy").alias("match_type"), (F.col("brand_match") > 0.5).alias("brand_matched"), *rounded)
+    parts = full.withColumn("similarity", like(F.col("ratio"))).withColumn("final", final(F.col("similarity"))).where(F.col("final") >= least)
+    rounded = [F.round(x, 3).alias(x) for x in ("similarity", "type_match", "keyword_overlap", "spec_match", "brand_match")]
+    out = parts.select("ask", "prod", F.round("final", 3).alias("score"), F.when(F.col("final") >= 0.7, "exact").otherwise("fuzzy").alias("match_type"), (F.col("brand_match") > 0.5).alias("brand_matched"), *rounded)
+    named = out.join(asks.select("ask", "name", "spec", "brand"), "ask").join(prods.select("prod", "p_name", "p_model", "p_brand"), "prod")
+    return named.select("ask", "prod", "name", "spec", "brand", "p_name", "p_model", "p_brand", *(x for x in out.columns if x not in ("ask", "prod")))
 
 
 def match(requests: DataFrame, products: DataFrame, synonyms: DataFrame | None = None, most: int = 20, all_pairs: bool = False, tokenise=R.keywords, prepared: DataFrame | None = None, ratio=sequence_ratio) -> DataFrame:
