@@ -39,6 +39,8 @@ from millrace.llm.common import save
 
 #: BM25's saturation of repeats and share of the length.
 K1, B = 1.2, 0.75
+#: Documents whose terms are counted at once.
+STEP = 512
 _MADE: dict[str, WordEnds] = {}
 
 
@@ -64,20 +66,27 @@ def _ids(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), "<u2") for x in flat(column)]
 
 
-def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different ids but the end's, which is last, and how often each is there."""
-    held = np.sort(ids[:-1])
-    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.zeros(0, np.int64)
-    return held[first].astype(np.int64), np.diff(np.r_[first, len(held)])
+def _terms(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of ids, whose last is the end's: each row's different terms rising, how often each is there, the row of each, and where each row's begin (and the last's end)."""
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    kind = np.uint32 if len(rows) <= 1 << 16 else np.uint64
+    key = np.repeat(np.arange(len(rows), dtype=kind) << kind(16), size) | (np.concatenate(rows) if rows else np.zeros(0, np.uint16))
+    body = np.ones(len(key), bool)
+    body[np.cumsum(size) - 1] = False
+    key = np.sort(key[body])
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    row = (key[first] >> kind(16)).astype(np.int64)
+    return (key[first] & kind(0xFFFF)).astype(np.int64), np.diff(np.r_[first, len(key)]), row, np.searchsorted(row, np.arange(len(rows) + 1))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, n): in how many of a task's documents a term is; -1 counts documents and -2 tokens."""
     counts, documents, tokens = np.zeros(1 << 16, np.int64), 0, 0
     for batch in batches:
-        for ids in _ids(batch.column(0)):
-            counts[_terms(ids)[0]] += 1
-            documents, tokens = documents + 1, tokens + len(ids) - 1
+        for at in range(0, len(batch), STEP):
+            rows = _ids(batch.column(0).slice(at, STEP))
+            counts += np.bincount(_terms(rows)[0], minlength=1 << 16)
+            documents, tokens = documents + len(rows), tokens + sum(map(len, rows)) - len(rows)
     terms = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, terms]), pa.array(np.r_[tokens, documents, counts[terms]])], names=["term", "n"])
 
@@ -105,32 +114,30 @@ def statistics(tokens: DataFrame) -> Statistics:
 
 def _telling(batches: Iterator[pa.RecordBatch], told: Statistics) -> Iterator[pa.RecordBatch]:
     """Rows with their two most telling terms; -1 where there is none."""
-    for batch in batches:
-        first, second = [], []
-        for ids in _ids(batch.column(2)):
-            terms, tf = _terms(ids)
+    for whole in batches:
+        for at in range(0, len(whole), STEP):
+            batch = whole.slice(at, STEP)
+            terms, tf, row, bounds = _terms(_ids(batch.column(2)))
             value = np.where(told.shared[terms], tf * told.idf[terms], 0.0)
-            two = [-1, -1]
-            for k in range(min(2, len(terms))):
-                best = int(value.argmax())
-                two[k] = int(terms[best]) if value[best] > 0 else -1
-                value[best] = 0
-            first.append(two[0])
-            second.append(two[1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())], names=[*batch.schema.names, "first", "second"])
+            some = np.flatnonzero(np.diff(bounds))
+            two = np.full((2, len(batch)), -1)
+            for k in range(2 if len(some) else 0):
+                best = np.maximum.reduceat(value, bounds[some])
+                # of equally telling terms the one with the smallest id
+                where = np.minimum.reduceat(np.where(value == np.repeat(best, np.diff(bounds)[some]), np.arange(len(value)), len(value)), bounds[some])
+                two[k][some] = np.where(best > 0, terms[where], -1)
+                value[where] = 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(t.astype(np.int32)) for t in two)], names=[*batch.schema.names, "first", "second"])
 
 
 class Index:
     """BM25 weights of a shard's documents by term."""
 
     def __init__(self, shard: list[np.ndarray], told: Statistics) -> None:
-        each = [_terms(ids) for ids in shard]
-        size = np.fromiter((len(t) for t, _ in each), np.int64, len(each))
-        self.told, self.terms = told, [t for t, _ in each]
-        document = np.repeat(np.arange(len(each)), size)
-        term = np.concatenate([t for t, _ in each])
+        term, tf, document, bounds = _terms(shard)
+        self.told, self.terms = told, [term[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
         length = np.fromiter((len(ids) - 1 for ids in shard), np.int64, len(shard))
-        weight = told.weights(term, np.concatenate([f for _, f in each]), length[document])
+        weight = told.weights(term, tf, length[document])
         order = np.argsort(term.astype(np.uint16), kind="stable")
         self._keep(term[order], document[order], weight[order])
         self.unused = np.ones(len(shard), bool)
@@ -138,7 +145,7 @@ class Index:
 
     def _keep(self, term: np.ndarray, document: np.ndarray, weight: np.ndarray) -> None:
         self.term, self.document, self.weight = term, document, weight
-        self.start = np.searchsorted(term, np.arange((1 << 16) + 1))
+        self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=1 << 16))]
 
     def use(self, k: int) -> None:
         self.unused[k] = False
@@ -156,12 +163,14 @@ class Index:
         score[~self.unused] = -1.0
         # the best few fill most windows; the others are put in order only when they are asked for
         few = min(16, len(score))
-        best = np.argpartition(-score, few - 1)[:few]
-        rest = np.setdiff1d(np.arange(len(score)), best) if few < len(score) else best[:0]
-        for some in (best, rest):
+        some = np.argpartition(-score, few - 1)[:few]
+        for rest in (few < len(score), False):
             for k in some[np.lexsort((some, -score[some]))].tolist():
                 if score[k] >= 0 and self.unused[k]:
                     yield k
+            if not rest:
+                return
+            some = np.setdiff1d(np.arange(len(score)), some)
 
 
 class Windows:
