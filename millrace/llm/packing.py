@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.chunks import byte_of, merges_agree
 from millrace.llm.common import save
 
 #: The usual way of byte-level vocabularies to cut a text before merging.
@@ -52,23 +53,22 @@ def _ranks(told: dict) -> dict[bytes, int] | None:
     usual = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and told["normalizer"] is None
     if not usual or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
         return None
-    # bytes that are no printable Latin-1 character are written as those from code point 256 on
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
-    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
-    vocabulary = model["vocab"]
-    if any(vocabulary.get(m) != 256 + k for k, m in enumerate(merged)) or sorted(vocabulary[c] for c in byte if c in vocabulary) != list(range(256)):
-        return None
-    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(merged)}
+    byte = byte_of()
+    code = lambda t: bytes(byte[c] for c in t)
+    pairs = [tuple(map(code, m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    ranks = {code(t): i for t, i in model["vocab"].items() if i < 256 + len(pairs) and all(c in byte for c in t)}
+    ordered = all(ranks.get(a + b) == 256 + k for k, (a, b) in enumerate(pairs)) and sorted(ranks.get(bytes([b]), -1) for b in range(256)) == list(range(256))
+    return ranks if ordered and merges_agree(ranks, pairs) else None
 
 
 class Tokens:
-    """Token ids of texts, as unsigned 32-bit bytes of this machine, as the tokenizers library gives them.
+    """Token ids of texts, as unsigned 32-bit bytes of this machine, as the tokenizers library gives them; special tokens' strings are special tokens.
 
-    Where the vocabulary's merges are numbered in their order, which is checked
-    when it is loaded, tiktoken makes the same ids from it in a quarter of the
-    time; it encodes the texts whose characters both libraries know alike and
-    that have no very long run of one kind.
+    Where the vocabulary's merges are numbered in their order and merging by
+    rank ends each of them with its own pair, which is checked for all when it
+    is loaded, tiktoken makes the same ids from it in a quarter of the time; it
+    encodes the texts that hold no special token's string, whose characters both
+    libraries know alike and that have no very long run of one kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,15 +76,16 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        told = json.loads(self.model.to_str())
+        self.special = [t["content"] for t in told["added_tokens"]]
         self.fast = None
-        if ranks := _ranks(json.loads(self.model.to_str())):
+        if ranks := _ranks(told):
             import tiktoken
 
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        plain = self.fast and (text.isascii() or not BEYOND.search(text))
+        plain = self.fast and (text.isascii() or not BEYOND.search(text)) and not any(s in text for s in self.special)
         if plain and all(text.find(" ", k, k + LONG) >= 0 and not text[k : k + LONG].isspace() for k in range(0, len(text) - LONG + 1, LONG)):
             return self.fast.encode_to_numpy(text, disallowed_special=()).tobytes()
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()

@@ -127,9 +127,7 @@ def docs_of(spark, texts, sources=None):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
-    return model
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_pieces_and_packing_round_trip(spark, tokenizer):
