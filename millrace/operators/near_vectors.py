@@ -82,7 +82,7 @@ def _compared(queries: pa.Table, rows: pa.Table, least: float, most: int) -> pa.
     return pa.table({"query_id": pa.array(joined[0].astype(np.int64)), "vec_id": pa.array(joined[1].astype(np.int64)), "score": pa.array(joined[2])})
 
 
-def search(queries: DataFrame, vectors: DataFrame, least: float = 0.3, most: int = 20, tables: int = 6, share: float = 0.125, bucket_rows: int = 40, part_rows: int = PART_ROWS) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, least: float = 0.3, most: int = 20, tables: int = 6, share: float = 0.15, bucket_rows: int = 40, part_rows: int = PART_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the vectors found, but the query's own, with a cosine of least or more, best first.
 
     queries, vectors: vec_id long, embedding of one length. share: of each table's buckets that a query looks into.
