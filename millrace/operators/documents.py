@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import money as M
+from millrace.streaming.runs import saved
 
 # Document kinds, their titles and number prefixes.
 TITLES = {"quote": "报价单", "order": "订货单", "delivery": "发货单", "purchase": "采购单", "supplier_order": "供应商订单", "return": "退货单", "purchase_return": "采购退货单", "inbound": "入库单", "merge_outbound": "合并出库单", "order_items": "订单商品明细"}
@@ -165,6 +166,13 @@ def pdf_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("quote_id").agg(F.count(F.lit(1)).alias("items"), matched.alias("matched"), F.round(matched * 100.0 / F.count(F.lit(1)), 1).alias("match_rate"))
 
 
+def first_products(products: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
+    """products with rank, the first of each key in catalogue order: lines of equal keys have the same candidates, so these are cut before lines meet them."""
+    place = Window.partitionBy(*keys).orderBy("catalog_idx")
+    # kept, so that how few they are is known when lines are joined
+    return saved(products.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most), "candidates")
+
+
 def candidate_rows(ranked: DataFrame, most: int = 20) -> DataFrame:
     """One row per candidate of a line, best first, with its display name."""
     shown = F.concat("name", F.lit(" ["), "code", F.lit("] ¥"), F.format_string("%.2f", "market_price"))

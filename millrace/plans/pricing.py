@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import money as M
@@ -170,6 +169,5 @@ SELECT quote_id, item_index, CAST(rank AS INT) AS rank, code, shown FROM r WHERE
 def candidate_sheet(lines, catalog):
     """The products of each line's model and unit, twenty at most, as its candidates are shown."""
     c = catalog.select(F.col("model").alias("spec"), "unit", "code", F.col("name"), "market_price", "catalog_idx")
-    place = Window.partitionBy("quote_id", "item_index").orderBy("catalog_idx")
-    ranked = lines.select("quote_id", "item_index", "spec", "unit").join(c, ["spec", "unit"]).withColumn("rank", F.row_number().over(place))
+    ranked = lines.select("quote_id", "item_index", "spec", "unit").join(D.first_products(c, ["spec", "unit"]), ["spec", "unit"])
     return D.candidate_rows(ranked)
