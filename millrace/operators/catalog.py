@@ -167,18 +167,20 @@ def search_for_lines(view: DataFrame, asked: DataFrame, most: int = 20) -> DataF
     score = own + F.when(model.contains(F.col("low")), 40).otherwise(0) + F.when(code.contains(F.col("low")), 80).otherwise(0) + 15
     texts = containing(terms, "low", view, "search_text")
     row = F.struct("catalog_idx", F.coalesce("code", F.lit("")).alias("c"), "has_image", "market_price", F.col("unit").alias("u"))
-    hits = view.join(texts, "search_text").join(terms, "low").select("term", row.alias("row"), score.alias("score"))
+    # texts, and a unit's products, are as many as the catalogue has: none of these joins is a broadcast
+    hits = view.join(texts.hint("merge"), "search_text").join(terms, "low").select("term", row.alias("row"), score.alias("score"))
     by_terms = ways.select("kind", "wanted", F.explode("terms").alias("term")).join(hits, "term").groupBy("kind", "wanted", "row").agg(F.sum("score").alias("score"))
     firsts = by_terms.groupBy("kind", "wanted", F.col("row.c").alias("c")).agg(F.min_by(F.struct("row", "score"), "row.catalog_idx").alias("hit"))
     of_unit = view.where("unit <> ''").groupBy(F.col("unit").alias("wanted"), F.coalesce("code", F.lit("")).alias("c")).agg(F.min_by(row, "catalog_idx").alias("first"))
     # a code's product that has the unit alone and comes before those with a term stands for the code
-    both = firsts.join(of_unit, ["wanted", "c"], "left")
+    both = firsts.join(of_unit.hint("merge"), ["wanted", "c"], "left")
     earlier = F.col("first.catalog_idx") < F.col("hit.row.catalog_idx")
     bonus = F.when((F.col("wanted") != "") & (F.col("hit.row.u") == F.col("wanted")), 10).otherwise(0)
     kept = both.select("kind", "c", F.when(earlier, F.col("first")).otherwise(F.col("hit.row")).alias("row"), F.when(earlier, F.lit(10)).otherwise(F.col("hit.score") + bonus).cast("long").alias("score"))
+    kept = saved(kept, "kept")
     in_unit = [F.desc("first.has_image"), F.desc_nulls_last("first.market_price"), F.col("first.catalog_idx")]
     page = of_unit.withColumn("n", F.row_number().over(Window.partitionBy("wanted").orderBy(*in_unit))).where(F.col("n") <= most)
-    by_unit = ways.select("kind", "wanted").join(page, "wanted").select("kind", "c", F.col("first").alias("row"), F.lit(10).cast("long").alias("score")).join(kept.select("kind", "c"), ["kind", "c"], "left_anti")
+    by_unit = ways.select("kind", "wanted").join(page, "wanted").select("kind", "c", F.col("first").alias("row"), F.lit(10).cast("long").alias("score")).join(kept.select("kind", "c").hint("merge"), ["kind", "c"], "left_anti")
     best = Window.partitionBy("kind").orderBy(F.desc("score"), F.desc("row.has_image"), F.desc_nulls_last("row.market_price"), "row.catalog_idx")
     top = kept.unionByName(by_unit).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
     return kinds.select("ask_id", "kind").join(top, "kind").select("ask_id", "rank", F.col("row.catalog_idx").alias("catalog_idx"), "score")

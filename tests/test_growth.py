@@ -1,6 +1,9 @@
 """Steps whose work must grow with the input, on small frames."""
 
+from millrace.functions import html_text
 from millrace.operators import documents as D
+from millrace.operators import images as I
+from millrace.operators import overlap
 
 
 def plan(df):
@@ -18,3 +21,24 @@ def test_candidates_are_cut_before_lines_meet_them(spark):
     # no window over the lines and their candidates
     assert "quote_id" not in "".join(x for x in plan(found).splitlines() if "Window" in x)
     assert sorted((r.quote_id, r["rank"], r.code) for r in found.collect()) == sorted((q, k + 1, f"c{2 * k + q % 2}") for q in range(6) for k in range(20))
+
+
+def test_pages_and_blocks_are_not_broadcast(spark):
+    products = spark.range(3).selectExpr("id as catalog_idx", "'k' || id as key", "'none' as code", "'n' || id as name", "'m' as model")
+    pages = spark.range(3).selectExpr("'k' || id as key", "repeat('x', 50) || 'n' || id as html")
+    found = I.resolve(products, pages)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(r.catalog_idx for r in found.collect()) == [0, 1, 2]
+
+
+def test_lists_of_marks_are_not_broadcast(spark, monkeypatch):
+    terms, texts = spark.createDataFrame([("ring",), ("m1",)], "low string"), spark.createDataFrame([("a ring m1",), ("m10",), ("x",)], "text string")
+    for few, side in ((20000, "rightHint=(strategy=broadcast)"), (0, "rightHint=(strategy=merge)")):
+        monkeypatch.setattr(overlap, "FEW", few)
+        found = overlap.containing(terms, "low", texts, "text")
+        assert side in plan(found) or (few and "leftHint=(strategy=broadcast)" in plan(found))
+        assert sorted(map(tuple, found.collect())) == [("m1", "a ring m1"), ("m1", "m10"), ("ring", "a ring m1")]
+
+
+def test_a_reference_is_looked_up_in_a_short_text():
+    assert max(map(len, html_text.TABLES)) < 400 and sum(map(len, html_text.TABLES)) > 20000
