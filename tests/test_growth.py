@@ -4,6 +4,7 @@ from millrace.functions import html_text
 from millrace.operators import documents as D
 from millrace.operators import images as I
 from millrace.operators import overlap
+from millrace.operators import scans as S
 
 
 def plan(df):
@@ -42,3 +43,26 @@ def test_lists_of_marks_are_not_broadcast(spark, monkeypatch):
 
 def test_a_reference_is_looked_up_in_a_short_text():
     assert max(map(len, html_text.TABLES)) < 400 and sum(map(len, html_text.TABLES)) > 20000
+
+
+def test_boxes_of_a_page_are_grouped_in_batches(spark):
+    """One page over many batches: a group goes on from one to the next."""
+    rows = [(1, k, float(10 * k) if k % 2 else 10.0 * k + 1, 20.0) for k in range(100)] + [(2, k, 5.0, 20.0) for k in range(30)]
+    frame = spark.createDataFrame(rows, "image_id long, box_no long, cy double, height double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = S.text_rows(frame)
+        # rows pass in order: no page is collected
+        assert "FlatMapGroups" not in plan(df) and "MapInArrow" in plan(df)
+        found = {(r.image_id, r.box_no): r.row_no for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for image in (1, 2):
+        members = []
+        for _, k, y, _ in sorted((r for r in rows if r[0] == image), key=lambda r: (r[2], r[1])):
+            near = next((g for g in members if abs(y - sum(v for _, v in g) / len(g)) <= 18), None)
+            if near is None:
+                members.append(near := [])
+            near.append((k, y))
+        assert {k: g for g, m in enumerate(members) for k, _ in m} == {k: g for (i, k), g in found.items() if i == image}
