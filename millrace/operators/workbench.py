@@ -150,8 +150,11 @@ def check_price_types(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def export(frame: DataFrame, path: str, by: str, kind: str = "csv") -> DataFrame:
-    """Write a sheet as one folder per value of ``by``, and read it back; nulls stay null."""
-    writer = frame.repartition(by).write.partitionBy(by).mode("overwrite")
+    """Write a sheet as one folder per value of ``by``, in files of at most a million rows, and read it back; nulls stay null.
+
+    Tasks write the rows they have, sorted by ``by``: a large value is never one task's, and a task has one file open.
+    """
+    writer = frame.sortWithinPartitions(by).write.option("maxRecordsPerFile", 1000000).partitionBy(by).mode("overwrite")
     options = {"header": True, "nullValue": "\\N", "emptyValue": ""} if kind == "csv" else {}
     writer.format(kind).options(**options).save(path)
     return frame.sparkSession.read.format(kind).options(**options).schema(frame.schema).load(path).select(*frame.columns)

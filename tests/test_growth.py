@@ -66,3 +66,13 @@ def test_boxes_of_a_page_are_grouped_in_batches(spark):
                 members.append(near := [])
             near.append((k, y))
         assert {k: g for g, m in enumerate(members) for k, _ in m} == {k: g for (i, k), g in found.items() if i == image}
+
+
+def test_cells_of_a_sheet_are_read_once(spark):
+    from millrace.operators import sheets
+
+    cells = spark.createDataFrame([(1, r, c, v) for r, row in enumerate([["名称", "数量", "单位"], ["a", "2", "u"], ["b", "3", "u"]]) for c, v in enumerate(row)], "file_id long, row_idx long, col_idx long, value string")
+    assert "exists(" not in plan(sheets.row_scores(cells))
+    where = sheets.regions(cells)
+    assert plan(sheets.data_patterns(cells, where)).count("cast(") + plan(sheets.data_patterns(cells, where)).count("RLIKE") < 12
+    assert [r.detected_type for r in sheets.column_types(cells, where).orderBy("col_idx").collect()] == ["name", "quantity", "unit"]
