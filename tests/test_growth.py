@@ -96,3 +96,27 @@ def test_an_export_is_written_by_the_tasks_that_have_its_rows(spark, tmp_path):
     frame = spark.range(0, 40, 1, 4).selectExpr("id", "'one' as supplier")
     assert workbench.export(frame, str(tmp_path / "out"), "supplier").count() == 40
     assert len(list((tmp_path / "out" / "supplier=one").glob("*.csv"))) == 4
+
+
+def test_a_small_workbook_is_parsed_once_and_files_pass_in_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from millrace.sources import workbook as W
+
+    content = W.workbook_bytes([(0, 0, "a"), (2, 1, "7")])
+    opened, rows = [], W.workbook_rows
+    monkeypatch.setattr(W, "workbook_rows", lambda *a: opened.append(1) or rows(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array(["x.xlsx"]), pa.array([content])], ["path", "content"])
+    read = lambda: [r for b in W._cells(iter([batch]), 0) for r in zip(*(c.to_pylist() for c in b.columns))]
+    once = read()
+    assert len(opened) == 1 and [r[1:4] for r in once] == [(0, 0, "a"), (0, 1, None), (1, 0, None), (1, 1, None), (2, 0, None), (2, 1, "7")]
+    # what is too large to be held is read again, part by part
+    monkeypatch.setattr(W, "BATCH", 1)
+    monkeypatch.setattr(W, "SMALL", 1)
+    assert read() == once and len(opened) == 3
+    # a file's cells go on from one batch to the next
+    parts = [[(None, 0, 0, "n"), (1, 0, 0, "a")], [(1, 0, 1, "b"), (1, 1, 0, None)], [(2, 0, 0, "")]]
+    schema = pa.schema([("file_id", pa.int64()), ("row_idx", pa.int64()), ("col_idx", pa.int64()), ("value", pa.string())])
+    made = [r for b in W._workbooks(pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*p), schema)], schema=schema) for p in parts) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert [(f, list(rows(b))) for f, b in made] == [(None, [(0, ["n"])]), (1, [(0, ["a", "b"])]), (2, [])]
+    assert "FlatMapGroups" not in plan(W.workbooks(spark.createDataFrame([(1, 0, 0, "a")], "file_id long, row_idx long, col_idx long, value string")))
