@@ -120,3 +120,13 @@ def test_a_small_workbook_is_parsed_once_and_files_pass_in_batches(spark, monkey
     made = [r for b in W._workbooks(pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*p), schema)], schema=schema) for p in parts) for r in zip(*(c.to_pylist() for c in b.columns))]
     assert [(f, list(rows(b))) for f, b in made] == [(None, [(0, ["n"])]), (1, [(0, ["a", "b"])]), (2, [])]
     assert "FlatMapGroups" not in plan(W.workbooks(spark.createDataFrame([(1, 0, 0, "a")], "file_id long, row_idx long, col_idx long, value string")))
+
+
+def test_texts_meet_and_not_requests_and_products(spark):
+    from millrace.operators import matching as X
+
+    requests = spark.createDataFrame([("large ring", "M1", f"b{k}") for k in range(6)], "name string, spec string, brand string")
+    products = spark.createDataFrame([(k, "large ring", "M1", f"b{k % 6}") for k in range(60)], "catalog_idx long, name string, model string, brand string")
+    asks, prods = X.prepare_requests(requests), X.prepare_products(products)
+    assert (asks.count(), prods.count()) == (6, 6)
+    assert X.text_pairs(*X.texts_of(asks, prods, products)).count() == 1
