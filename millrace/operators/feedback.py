@@ -120,17 +120,19 @@ def rerank(adjusted: DataFrame) -> DataFrame:
     """adjusted with place, from 1, per request: by score, base score and catalogue order, then one pass in which a
     candidate with an image passes the one before it without one if their scores are 0.03 apart at most.
 
-    At most some twenty candidates a request: the pass is a fold over their sorted array.
+    A row without an image may be passed by several: by the rows with one that follow it, as far as they are near it. So
+    it changes places with so many of them, which rows in order tell; a request's rows are never one array.
     """
-    row = F.struct((-F.col("score")).alias("s"), (-F.col("base_score")).alias("b"), F.col("catalog_idx").alias("i"), F.col("has_image").alias("im"))
-    lists = adjusted.groupBy("ask_id").agg(F.array_sort(F.collect_list(row)).alias("l"))
-    # a row without an image may be passed by several: it stays last in what is built so far
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & x["im"] & ~F.element_at(acc, -1)["im"] & (F.abs(F.element_at(acc, -1)["s"] - x["s"]) <= 0.03),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x, F.element_at(acc, -1))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    placed = lists.select("ask_id", F.posexplode(F.aggregate("l", F.slice("l", 1, 0), step)).alias("p", "x")).select("ask_id", (F.col("p") + 1).alias("place"), F.col("x.i").alias("catalog_idx"))
-    return adjusted.join(placed, ["ask_id", "catalog_idx"])
+    order = Window.partitionBy("ask_id").orderBy(F.desc("score"), F.desc("base_score"), "catalog_idx")
+    image = F.coalesce("has_image", F.lit(False))
+    rows = adjusted.withColumn("_at", F.row_number().over(order)).withColumn("_run", F.sum(F.when(image, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("ask_id", "_run")
+    head = F.min(F.struct("_at", "score", "has_image")).over(run)
+    rows = rows.withColumn("_head", head)
+    passes = image & (~F.col("_head.has_image")) & (F.abs(F.col("score") - F.col("_head.score")) <= 0.03)
+    rows = rows.withColumn("_passes", F.coalesce(passes, F.lit(False))).withColumn("_passed", F.count_if("_passes").over(run))
+    place = F.col("_at") + F.when(F.col("_passes"), -1).when(F.col("_at") == F.col("_head._at"), F.col("_passed")).otherwise(0)
+    return rows.withColumn("place", place.cast("int")).drop("_at", "_run", "_head", "_passes", "_passed")
 
 
 def hint(count: Column, template_hits: Column, changes: Column) -> Column:

@@ -130,3 +130,13 @@ def test_texts_meet_and_not_requests_and_products(spark):
     asks, prods = X.prepare_requests(requests), X.prepare_products(products)
     assert (asks.count(), prods.count()) == (6, 6)
     assert X.text_pairs(*X.texts_of(asks, prods, products)).count() == 1
+
+
+def test_candidates_of_a_request_are_no_array(spark):
+    from millrace.operators import feedback
+
+    rows = spark.range(30).selectExpr("1 as ask_id", "0.5d as score", "0.1d as base_score", "id as catalog_idx", "id > 0 as has_image")
+    found = feedback.rerank(rows)
+    assert "collect_list" not in plan(found)
+    # the first is passed by all others
+    assert {r.catalog_idx: r.place for r in found.collect()} == {0: 30, **{k: k for k in range(1, 30)}}
