@@ -140,3 +140,32 @@ def test_candidates_of_a_request_are_no_array(spark):
     assert "collect_list" not in plan(found)
     # the first is passed by all others
     assert {r.catalog_idx: r.place for r in found.collect()} == {0: 30, **{k: k for k in range(1, 30)}}
+
+
+def test_products_do_not_meet_all_blocks_of_their_page(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abAB1手套") for _ in range(draw.randint(1, 4)))
+    rows = [(k, f"k{k % 2}", word(), f"{word()} {word()}", word() if k % 3 else None) for k in range(40)]
+    texts = {key: [" ".join([word(), *(draw.choice(r[2:]) or "" for r in draw.sample(rows, 3)), draw.choice(["", "<img src='/ProductImg/x.jpg'>"])]) for _ in range(25)] for key in ("k0", "k1")}
+    html = {key: "".join(f'<div class="product_item">{t}' for t in ts) + I.ENDS[1] for key, ts in texts.items()}
+    products = spark.createDataFrame(rows, "catalog_idx long, key string, code string, name string, model string")
+    pages = spark.createDataFrame(list(html.items()), "key string, html string")
+    fold = [(r.catalog_idx, r.key, r.f, r.tokens) for r in products.select("catalog_idx", "key", F.array(*(I.folded(F.col(c)) for c in ("code", "name", "model"))).alias("f"), I.match_tokens(F.col("code"), F.col("name"), F.col("model")).alias("tokens")).collect()]
+    shown = {(r.key, r.block_no): (r.text, "/ProductImg/" in r.block) for r in I.blocks(pages).withColumn("text", I.folded(F.col("block"))).collect()}
+
+    def score(f, tokens, text, pictured):
+        gains = zip(f, (120, 100, 40), (1, 1, 3), strict=True)
+        said = sum(g for x, g, least in gains if len(x) >= least and x in text) + sum(8 if len(t) >= 4 else 4 for t in tokens if t in text)
+        return said + 5 * pictured
+
+    want = {i: max((score(f, tokens, *shown[key, n]), -n) for n in range(25)) for i, key, f, tokens in fold}
+    for seldom, cell in ((1, 4), (99, 5)):
+        monkeypatch.setattr(I, "SELDOM", seldom)
+        monkeypatch.setattr(I, "CELL", cell)
+        found = I.resolve(products, pages)
+        assert "contains(text" not in plan(found).lower()
+        assert {r.catalog_idx: (r.score, -r.block_no) for r in found.collect()} == want
+    # a page is cut once, and not once for each of its parts
+    assert plan(I.blocks(pages)).count("split(") == 1
