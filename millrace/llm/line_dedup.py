@@ -10,11 +10,15 @@ by byte; all but the first occurrence (least doc_id, then text, then place)
 are removed. That is :func:`drop_repeated_chunks`, whose coarse cuts leave the
 ends of a passage and most short passages where they are.
 
-:func:`drop_repeated_passages` takes the finest cut, after every line, and
-matches each line together with its neighbour: a pair of neighbouring lines
-that occurred before is removed. Every run of two or more repeated lines is
-made of such pairs, so a match reaches line by line to both ends of the
-passage, wherever it begins. A pair that overlaps its own first occurrence
+:func:`drop_repeated_passages` takes finer chunks as seeds and extends them. Each
+of three chunkings cuts a text after all lines but those of one of three classes,
+by the line's own hash; chunks, of one line or more, that occur more than once are
+seeds, and each seed is extended line by line both ways: every pair of neighbouring
+lines within it and at its edges that occurred before is removed. Of two
+neighbouring lines at most two classes are theirs, so in one of the chunkings the
+text is cut after both, and the second is a chunk there wherever both stand: every
+repeated run of two lines or more has seeds at all its lines, and is extended to
+both ends, wherever it begins. A pair that overlaps its own first occurrence
 (three equal lines) is no repetition; the first occurrence of every line stays.
 
 Everything is DataFrame functions. Only digests are shuffled to find repeated
@@ -40,6 +44,8 @@ from millrace.llm.common import lookup, save
 
 #: The rolling hash: line hashes below 2**31, this base, and no overflow of 64 bits.
 BASE = 31
+#: Chunkings of which each leaves one class of lines uncut; with three, two lines are cut after in one of them.
+CHUNKINGS = 3
 
 
 def _chunks(docs: DataFrame, window: int, divisor: int) -> DataFrame:
@@ -81,12 +87,32 @@ def _chunks(docs: DataFrame, window: int, divisor: int) -> DataFrame:
     )
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_hash, start, n, chunk): every two neighbouring lines of every text that are not both blank."""
-    lines = F.split("text", "\n", -1)
+def _seeds(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_hash, chunk, pairs): the chunks of every text by three chunkings, each place once, with the pairs (start, chunk) of neighbouring lines, not both blank, that they hold or touch."""
     hashed = lambda x, y: F.when(y.isNotNull() & F.concat(x, y).rlike(r"[^\s]"), F.xxhash64(F.concat(x, F.lit("\n"), y)))
-    keys = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), hashed)
-    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("doc_hash"), F.posexplode(keys).alias("start", "chunk")).where("chunk is not null").select("doc_id", "doc_hash", "start", F.lit(2).alias("n"), "chunk")
+    last = F.size("hashes") - 1
+    cuts = lambda k: F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(F.get("hashes", i), F.lit(CHUNKINGS)) != k))
+    spans = lambda ends: F.transform(F.col(ends), lambda e, k: F.struct((F.coalesce(F.get(ends, k - 1), F.lit(-1)) + 1).alias("start"), e.alias("end")))
+    every = F.array_distinct(F.concat(*(spans(f"ends{k}") for k in range(CHUNKINGS))))
+    around = lambda x: F.filter(F.transform(F.sequence(F.greatest(x["start"] - 1, F.lit(0)), x["end"]), lambda i: F.struct(i.alias("start"), F.get("keys", i).alias("chunk"))), lambda p: p["chunk"].isNotNull())
+    told = F.transform("spans", lambda x: F.struct(F.xxhash64(F.slice("hashes", x["start"] + 1, x["end"] - x["start"] + 1)).alias("chunk"), around(x).alias("pairs")))
+    cut = (
+        docs.where("text is not null")
+        .select("doc_id", F.xxhash64("text").alias("doc_hash"), F.split("text", "\n", -1).alias("lines"))
+        .where("size(lines) > 1")
+        .select("doc_id", "doc_hash", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.zip_with("lines", F.slice("lines", F.lit(2), F.size("lines")), hashed).alias("keys"))
+        .select("*", *(cuts(k).alias(f"ends{k}") for k in range(CHUNKINGS)))
+        .select("doc_id", "doc_hash", "hashes", "keys", every.alias("spans"))
+    )
+    return cut.select("doc_id", "doc_hash", F.explode(told).alias("x")).select("doc_id", "doc_hash", "x.*").where("size(pairs) > 0")
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_hash, start, n, chunk): every two neighbouring lines, not both blank, that a repeated chunk holds or touches, each once."""
+    seeds = save(_seeds(docs), "seeds")
+    again = save(seeds.groupBy("chunk").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "again")
+    found = lookup(seeds, again, "chunk", "times").select("doc_id", "doc_hash", F.explode("pairs").alias("p")).select("doc_id", "doc_hash", "p.start", F.lit(2).alias("n"), "p.chunk")
+    return found.distinct()
 
 
 def _repeats(rows: DataFrame, chunks: DataFrame, share: int = 512) -> DataFrame:

@@ -46,3 +46,20 @@ def test_whole_passages_go_whatever_their_length_and_place(spark):
 def test_repeated_rows_are_one_occurrence(spark):
     docs = spark.createDataFrame([(1, "p\nq\nr", "x")] * 2 + [(None, "s\nt", "x")], DOCS)
     assert {(r.doc_id, r.text, r.n_removed) for r in line_dedup.drop_repeated_passages(docs).collect()} == {(1, "p\nq\nr", 0), (None, "s\nt", 0)}
+
+
+def test_pairs_are_those_that_repeated_chunks_hold_or_touch(spark):
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice("abcdefghij") * 2 for _ in range(rng.randint(2, 9))) if k % 2 else "\n".join(f"{k} {n}" for n in range(8)) for k in range(40)]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], DOCS)
+    # a chunk is one or more lines, cut by its lines alone
+    assert {len(r.pairs) for r in line_dedup._seeds(docs).collect()} > {1, 2, 3, 4}
+    found = {(r.doc_id, r.start) for r in line_dedup._pairs(docs).collect()}
+    places = {}
+    for k, t in enumerate(texts):
+        lines = t.split("\n")
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            places.setdefault(pair, set()).add((k, i))
+    assert set().union(*(p for p in places.values() if len(p) > 1)) <= found
+    # texts without a repeated line have no seed, so no pair of theirs is looked at
+    assert {k for k, _ in found} <= {k for k in range(40) if k % 2}
