@@ -194,3 +194,16 @@ def test_vectors_are_compared_by_matrices_and_ranked_by_sums_in_order(spark, mon
     found = X.semantic(frame.where("vec_id % 3 = 0"), frame, most=5)
     assert "zip_with" not in plan(found).lower()
     assert {(r.query_id, r.vec_id, r["rank"], str(r.score)) for r in found.collect()} == want
+
+
+def test_cells_of_a_sheet_are_shuffled_once(spark):
+    from millrace.operators import sheets
+
+    cells = spark.range(40).selectExpr("id div 20 as file_id", "id % 20 div 4 as row_idx", "id % 4 as col_idx", "'v' || id as value")
+    grid = sheets.oriented(cells)
+    found = sheets.headers(grid, sheets.regions(grid))
+    assert found.count() == 8
+    text = found._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("Join") == text.count("ShuffledHashJoin") > 0
+    # no other exchange than that by file
+    assert "ENSURE_REQUIREMENTS" not in found._jdf.queryExecution().executedPlan().toString()
