@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -83,6 +84,7 @@ def keep_first(docs: DataFrame, key: Column, named: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so when the driver's heap is collected."""
+    gc.collect()
     spark._jvm.System.gc()
 
 

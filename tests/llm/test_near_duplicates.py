@@ -79,3 +79,26 @@ def test_stage_keeps_one_row_of_each_group_whatever_its_ids(spark):
     assert all(sum(text in own for _, text in kept) == 1 for own in texts)
     assert sorted(str(i) for i, _ in kept) == sorted(str(rows[first][0]) for first, _ in found)
     assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+def test_sketches_rule_out_pairs_and_lose_none(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (6, 30, 100, 250, 260)]
+    texts += [" ".join(t.split()[k:]) for t in texts for k in (1, 3, 20)] + [t + " x y z" for t in texts]
+    own = [shingle_groups.shingles(t, 5) for t in texts]
+    sketches, ruled_out = [shingle_groups.sketch(x) for x in own], 0
+    for i, x in enumerate(own):
+        for j, y in enumerate(own):
+            most = shingle_groups.most_shared(sketches[i], len(x), sketches[j], len(y))
+            assert len(set(x) & set(y)) <= most <= min(len(x), len(y))
+            ruled_out += len(x) > 90 and len(y) > 90 and not set(x) & set(y) and most < 0.8 / 1.8 * (len(x) + len(y))
+    assert ruled_out > 20
+    # texts that share a passage and nothing else are not sent to be compared
+    passage = " ".join(f"p{k}" for k in range(30))
+    apart = [(k, passage + " " + " ".join(f"t{k}x{i}" for i in range(170)), "s") for k in range(6)]
+    sent = []
+    verified = shingle_groups.verified
+    monkeypatch.setattr(shingle_groups, "verified", lambda texts, sides, *a: sent.append(sides.count()) or verified(texts, sides, *a))
+    assert shingle_groups.groups(spark.createDataFrame(apart, DOCS)).count() == 0
+    assert sent == [0, 0, 0]
