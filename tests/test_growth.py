@@ -207,3 +207,17 @@ def test_cells_of_a_sheet_are_shuffled_once(spark):
     assert text.count("Join") == text.count("ShuffledHashJoin") > 0
     # no other exchange than that by file
     assert "ENSURE_REQUIREMENTS" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_meet_their_synonyms_dealt_out(spark):
+    from millrace.functions import rules as R
+
+    words = spark.createDataFrame([(1, "a"), (1, "x"), (2, "b"), (3, "c"), (3, "c"), (4, None), (5, "d")], "id long, word string").coalesce(1)
+    synonyms = spark.createDataFrame([("a", "b"), ("a", "d"), ("e", "d"), ("x", None)], "main string, synonym string")
+    found = R.expand(words, synonyms)
+    # ids are dealt by a stated number of partitions, which are not joined for their few bytes, and rows of an id stay together
+    where = found.select("id", F.spark_partition_id().alias("p")).distinct()
+    assert where.count() == 5 and where.select("p").distinct().count() > 1
+    abd = ["a", "b", "d"]
+    rows = [(1, w) for w in [*abd, None, "x"]] + [(2, w) for w in abd] + [(3, "c"), (4, None)] + [(5, w) for w in [*abd, "e"]]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str)
