@@ -221,3 +221,12 @@ def test_words_meet_their_synonyms_dealt_out(spark):
     abd = ["a", "b", "d"]
     rows = [(1, w) for w in [*abd, None, "x"]] + [(2, w) for w in abd] + [(3, "c"), (4, None)] + [(5, w) for w in [*abd, "e"]]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_cells_meet_the_mapping_in_their_row(spark):
+    rows = spark.createDataFrame([(1, 1, 0.5, False, ["1", " ", "手套", "2"]), (1, 2, 0.5, True, ["2", "帽", "x", None]), (1, 3, 0.5, True, ["3", None, "", "4"]), (2, 1, 0.5, True, ["名", "1"]), (3, 1, 0.5, True, ["y"])], "image_id long, line_no long, confidence double, low_confidence boolean, cells array<string>")
+    mapping = spark.createDataFrame([(1, 2, "name"), (1, 1, "name"), (1, 1, "name"), (1, 3, "quantity"), (1, 0, None), (1, 9, "spec"), (2, 0, "name"), (2, 0, "spec"), (2, 1, "")], "image_id long, col_idx long, field string")
+    found = S.mapped_items(rows, mapping)
+    # neither a row for each cell nor a shuffle of them
+    assert "Generate" not in plan(found)
+    assert sorted((r.image_id, r.line_no, r.name, r.quantity, r.spec) for r in found.collect()) == [(1, 1, "手套", "2", ""), (1, 2, "帽", "", ""), (2, 1, "名", "", "名")]
