@@ -89,13 +89,15 @@ SELECT quote_id, item_index, CASE WHEN item_index % 3 = 0 THEN 'select' ELSE 'no
 @query("work", sql=f"""WITH d AS (SELECT quote_id, item_index, arg_max(action, told) AS action, arg_max(code, told) AS code FROM ({DECIDED}) GROUP BY 1, 2)
 SELECT w.quote_id, w.item_index, d.quote_id IS NOT NULL OR w.confirmed AS confirmed, coalesce(d.action, w.action) AS action, CASE WHEN d.quote_id IS NULL THEN CASE WHEN has_selected THEN w.code END WHEN d.action = 'select' THEN d.code END AS code FROM {{work}} AS w LEFT JOIN d ON d.quote_id = w.quote_id AND d.item_index = w.item_index""")
 def confirmed_selections(work):
-    full = _work(work)
-    asked = work.where("item_index % 2 = 0")
-    chosen = lambda code: F.struct(code.alias("code"), F.col("product_name").alias("name"), "model", F.col("product_brand").alias("brand"), "supplier", "market_price", (F.col("best_score") + 0.05).alias("score"), "has_image").alias("selected")
-    first = asked.select("quote_id", "item_index", "action", chosen(F.col("code")), F.col("decided_at").alias("at"))
+    # of a product only its code is asked for; a line's two decisions come from one reading of it
+    chosen = lambda code: F.struct(code.alias("code"))
+    full = work.select("quote_id", "item_index", "action", "confirmed", F.when(F.col("has_selected"), chosen(F.col("code"))).alias("selected"))
     later = F.col("decided_at") + F.when(F.col("item_index") % 4 == 0, F.expr("INTERVAL '1' DAY")).otherwise(F.expr("INTERVAL '-1' DAY"))
-    second = asked.select("quote_id", "item_index", F.when(F.col("item_index") % 3 == 0, "select").otherwise("no_match").alias("action"), chosen(F.concat(F.lit("x"), "code")), later.alias("at"))
-    return W.confirm(full, first.union(second)).select("quote_id", "item_index", "confirmed", "action", F.col("selected.code").alias("code"))
+    second = F.when(F.col("item_index") % 3 == 0, "select").otherwise("no_match")
+    told = lambda action, code, at: F.struct(action.alias("action"), chosen(code).alias("selected"), at.alias("at"))
+    both = F.array(told(F.col("action"), F.col("code"), F.col("decided_at")), told(second, F.concat(F.lit("x"), "code"), later))
+    decisions = work.where("item_index % 2 = 0").select("quote_id", "item_index", F.explode(both).alias("d")).select("quote_id", "item_index", "d.*")
+    return W.confirm(full, decisions).select("quote_id", "item_index", "confirmed", "action", F.col("selected.code").alias("code"))
 
 
 @query("work", sql="SELECT quote_id, item_index, n_matches = 0 OR best_score < 0.4 AS look_further, n_matches > 0 AND has_image AS image_assisted FROM {work}")

@@ -230,3 +230,13 @@ def test_cells_meet_the_mapping_in_their_row(spark):
     # neither a row for each cell nor a shuffle of them
     assert "Generate" not in plan(found)
     assert sorted((r.image_id, r.line_no, r.name, r.quantity, r.spec) for r in found.collect()) == [(1, 1, "手套", "2", ""), (1, 2, "帽", "", ""), (2, 1, "名", "", "名")]
+
+
+def test_decisions_are_read_once_and_carry_what_is_asked_for(spark):
+    from millrace.plans.workbench import confirmed_selections
+
+    work = spark.range(1, 9).selectExpr("1L as quote_id", "id as item_index", "'c' || id as code", "id % 3 = 0 as confirmed", "id % 3 <> 1 as has_selected", "case when id % 4 = 1 then 'no_match' else 'select' end as action", "timestamp'2024-01-01 00:00:00' as decided_at", "'n' as product_name", "'m' as model", "'b' as product_brand", "'s' as supplier", "1.5d as market_price", "0.5d as best_score", "true as has_image", "id % 4 as n_matches", "false as has_alternative", "'n' as name", "'m' as spec", "'u' as unit", "'' as remark")
+    found = confirmed_selections(work)
+    assert plan(found).count("Range (") == 2
+    want = [(1, False, "no_match", None), (2, True, "select", "c2"), (3, True, "select", "c3"), (4, True, "no_match", None), (5, False, "no_match", "c5"), (6, True, "select", "c6"), (7, False, "select", None), (8, True, "no_match", None)]
+    assert sorted((r.item_index, r.confirmed, r.action, r.code) for r in found.collect()) == want
