@@ -240,3 +240,16 @@ def test_decisions_are_read_once_and_carry_what_is_asked_for(spark):
     assert plan(found).count("Range (") == 2
     want = [(1, False, "no_match", None), (2, True, "select", "c2"), (3, True, "select", "c3"), (4, True, "no_match", None), (5, False, "no_match", "c5"), (6, True, "select", "c6"), (7, False, "select", None), (8, True, "no_match", None)]
     assert sorted((r.item_index, r.confirmed, r.action, r.code) for r in found.collect()) == want
+
+
+def test_a_catalogue_is_not_sent_through_the_driver(spark, monkeypatch):
+    from millrace.operators import matching as X
+
+    plans, saved = {}, X.saved
+    monkeypatch.setattr(X, "saved", lambda df, name: plans.update({name: plan(df)}) or saved(df, name))
+    monkeypatch.setattr(overlap, "FEW", 0)
+    products = spark.createDataFrame([(k, f"防护手套 n{k}", "手部", k % 2 == 0) for k in range(8)] + [(9, "red big hat", "x", False)], "catalog_idx long, name string, category string, has_image boolean")
+    found = X.alternatives(spark.createDataFrame([("手套 n1",), ("big red",)], "name string"), products)
+    joins = [x for p in (plans["hinted"], plan(found)) for x in p.splitlines() if "Join Inner" in x and ("catalog_idx" in x or "category" in x or "word" in x)]
+    assert joins and all("strategy=merge" in x for x in joins)
+    assert [(r.catalog_idx, r.reason) for r in found.where("name = 'big red'").collect()] == [(9, "关键词相似")]
