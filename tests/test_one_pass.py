@@ -43,6 +43,12 @@ def lines_of(spark, n_lines):
     return S.logical_rows(S.boxes(frame), *S.ZONED)
 
 
+def test_all_lines_of_a_page_are_items(spark):
+    items = S.zone_items(lines_of(spark, 63))
+    assert [(r.line_no, r.seq, r.name, r.spec, r.color, r.unit, r.quantity) for r in items.orderBy("line_no").collect()] == [(i, i, f"n{i}", f"s{i}", "红", "个", 2.0 * i) for i in range(1, 64)]
+    assert [(r.n_items, r.header_signature) for r in S.parse_results(items).collect()] == [(63, "序号|产品名称|规格型号|颜色|单位|数量")]
+
+
 def test_fields_shown_are_those_of_the_columns_confidence(spark):
     rows = [(1, 1, None, "", "s", None, " ", 2.0, 0.9), (1, 2, 3, "n", "", "", "", None, None), (2, 1, 1, "n", "", None, "个", 1.0, None)]
     items = spark.createDataFrame(rows, "image_id long, line_no long, seq int, name string, spec string, color string, unit string, quantity double, confidence double")
