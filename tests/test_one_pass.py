@@ -54,3 +54,20 @@ def test_fields_shown_are_those_of_the_columns_confidence(spark):
     items = spark.createDataFrame(rows, "image_id long, line_no long, seq int, name string, spec string, color string, unit string, quantity double, confidence double")
     kept = {r.image_id: r.h for r in S.column_confidence(items).groupBy("image_id").agg(F.collect_set("header").alias("h")).collect()}
     assert {r.image_id: sorted(r.header_signature.split("|")) for r in S.parse_results(items).collect()} == {k: sorted(h) for k, h in kept.items()}
+
+
+@pytest.mark.parametrize("name,most", [("sheet_regions", 1), ("sheet_headers", 2), ("sheet_items", 3), ("sheet_preview", 3)])
+def test_cells_of_quote_sheets_move_with_their_lines_only(spark, name, most):
+    found = QUERIES[name](spark, SF)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    # that of the lines, once a reading of the cells, and that of the columns' types
+    assert exchanges(found)[0] <= most and "REPARTITION" not in text and "SortMergeJoin" not in text
+
+
+def test_a_previews_second_column_of_a_field_has_its_number(spark):
+    from millrace.operators import sheets
+
+    cells = spark.createDataFrame([(1, r, c, v) for r, row in enumerate([["h", "h", "h", "h"], ["a", None, "c", "d"]]) for c, v in enumerate(row)], "file_id long, row_idx long, col_idx long, value string")
+    where = spark.createDataFrame([(1, 1)], "file_id long, data_start long")
+    types = spark.createDataFrame([(1, 0, "name"), (1, 1, "name"), (1, 2, "")], "file_id long, col_idx long, detected_type string")
+    assert sorted((r.col_idx, r.field, r.value) for r in sheets.preview(cells, where, types).collect()) == [(0, "name", "a"), (1, "name_col1", ""), (2, "col_2", "c")]
